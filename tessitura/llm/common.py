@@ -63,11 +63,6 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(columns or ("doc_id", "text"))).where(F.col("doc_id").isNotNull())
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """As many partitions as there are cores at least: a table of one small file else keeps one core busy."""
-    return df
-
-
 def rows(batches: Iterable[pa.RecordBatch], key: str = "doc_id", text: str = "text", slab: int = 4_000_000) -> Iterator[tuple[list, list[bytes]]]:
     """Keys and UTF-8 texts (null: empty) in slabs of about so many bytes; a longer text is a slab by itself."""
     keys: list = []
@@ -133,6 +128,26 @@ def spaced_words(text: Column) -> Column:
     return F.when(squeezed == "", F.array().cast("array<string>")).otherwise(F.split(squeezed, f"{SPACE_CLASS}+"))
 
 
+#: A bitmap has 2^23 bits (1 MB) whatever the input; a full one only means that more rows take the long way.
+BITS = 1 << 23
+
+
+def bitmap(df: DataFrame, key: Column) -> DataFrame:
+    """One row, one array of BITS / 64 longs, of the 64-bit keys of df."""
+    at = F.pmod(key, F.lit(BITS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("i") % 64).cast("int"))
+    filled = df.select(at.alias("i")).groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(bit).alias("m"))
+    every = df.sparkSession.range(BITS // 64).select(F.col("id").alias("w"))
+    dense = every.join(filled, "w", "left").select("w", F.coalesce("m", F.lit(0).cast("bigint")).alias("m"))
+    return dense.agg(F.sort_array(F.collect_list(F.struct("w", "m"))).alias("a")).select(F.transform("a", lambda x: x["m"]).alias("bits"))
+
+
+def marked_in(bits: DataFrame, key: Column) -> Column:
+    """False where the key is surely none of the bitmap's."""
+    at = F.pmod(key, F.lit(BITS))
+    return F.getbit(F.element_at(bits.scalar(), (F.shiftright(at, 6) + 1).cast("int")), (at % 64).cast("int")) == 1
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id that links reach from each id that has a link.
 

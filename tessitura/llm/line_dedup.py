@@ -23,25 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, spaced_words, stored
+from .common import ascii_lower, bitmap, marked_in, spaced_words, stored
 
 MIN_WORDS, NEAR_WORDS = 3, 8
-#: The bitmap has 2^23 bits (1 MB) whatever the input; a full one only means that more texts are shuffled.
-BITS = 1 << 23
-
-
-def _bitmap(df: DataFrame, key: Column) -> DataFrame:
-    """One row, one array of BITS / 64 longs."""
-    at = F.pmod(key, F.lit(BITS))
-    filled = df.select(at.alias("i")).groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("i") % 64).cast("int"))).alias("m"))
-    every = df.sparkSession.range(BITS // 64).select(F.col("id").alias("w"))
-    dense = every.join(filled, "w", "left").select("w", F.coalesce("m", F.lit(0).cast("bigint")).alias("m"))
-    return dense.agg(F.sort_array(F.collect_list(F.struct("w", "m"))).alias("a")).select(F.transform("a", lambda x: x["m"]).alias("bits"))
-
-
-def _marked(bits: DataFrame, key: Column) -> Column:
-    at = F.pmod(key, F.lit(BITS))
-    return F.getbit(F.element_at(bits.scalar(), (F.shiftright(at, 6) + 1).cast("int")), (at % 64).cast("int")) == 1
 
 
 def _key() -> Column:
@@ -94,8 +78,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def _nearest(docs: DataFrame, places: DataFrame) -> DataFrame:
     """h, g, near: the earliest first occurrence of a line within one word, if it is earlier than the line's own."""
     wanted = places.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).agg(F.collect_set(F.struct("first.line", "h", "g")).alias("at"))
-    bits = _bitmap(places, F.col("first.th"))
-    texts = docs.where("doc_id is not null and text is not null").select("doc_id", _key().alias("th"), "text").where(_marked(bits, F.col("th")))
+    bits = bitmap(places, F.col("first.th"))
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", _key().alias("th"), "text").where(marked_in(bits, F.col("th")))
     own = texts.join(wanted, ["doc_id", "th"]).select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("at").alias("at"))
     own = own.select("at.h", "at.g", F.struct("doc_id", "at.line").alias("first"), spaced_words(ascii_lower(F.get("lines", F.col("at.line")))).alias("words"))
     own = own.select("h", "g", "first", "words", F.size("words").alias("n"))
@@ -116,10 +100,10 @@ def _nearest(docs: DataFrame, places: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """The documents with all their columns, without removed lines, and __td_lines and __td_removed: how many there were."""
     gone = stored(removed_lines(docs), "removed")
-    bits = _bitmap(gone, F.col("th"))
+    bits = bitmap(gone, F.col("th"))
     own = docs.where("doc_id is not null").withColumn("__td_th", _key())
     count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n", -1)))
-    marked = F.col("text").isNotNull() & _marked(bits, F.col("__td_th"))
+    marked = F.col("text").isNotNull() & marked_in(bits, F.col("__td_th"))
     right = gone.select(F.col("doc_id").alias("__td_id"), F.col("th").alias("__td_key"), F.col("removed").alias("__td_gone"))
     changed = own.where(marked).join(right, (F.col("doc_id") == F.col("__td_id")) & (F.col("__td_th") == F.col("__td_key")), "left")
     lost = F.coalesce(F.col("__td_gone"), F.array().cast("array<int>"))
