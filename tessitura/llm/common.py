@@ -148,6 +148,30 @@ def marked_in(bits: DataFrame, key: Column) -> Column:
     return F.getbit(F.element_at(bits.scalar(), (F.shiftright(at, 6) + 1).cast("int")), (at % 64).cast("int")) == 1
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs, with all its columns, without the rows whose doc_id is gone's (one column) or null.
+
+    Rows that the bitmap surely doesn't mark pass as they are read; only the rest is shuffled.
+    """
+    gone = stored(gone.select(gone[0].alias("__td_id")).distinct(), "gone")
+    own = docs.where("doc_id is not null")
+    mark = marked_in(bitmap(gone, F.xxhash64("__td_id")), F.xxhash64("doc_id"))
+    return own.where(~mark).unionByName(own.where(mark).join(gone, F.col("doc_id") == F.col("__td_id"), "left_anti"))
+
+
+def representatives(own: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text) of one document of each text; (m, node) of the texts that several rows have."""
+    hashed = own.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("m"))
+    several = stored(hashed.groupBy("m").agg(F.min("doc_id").alias("node"), F.count("*").alias("c")).where("c > 1").select("m", "node"), "texts")
+    repeated = marked_in(bitmap(several, F.xxhash64("m")), F.xxhash64("m"))
+    # Keys are (doc_id, m), so a text that a third of all rows share is dealt out.
+    others = hashed.where(repeated).join(several.withColumnRenamed("node", "doc_id").withColumn("c", F.lit(1)), ["doc_id", "m"], "left")
+    alone = hashed.where(repeated).select("m", "doc_id").join(several, "m", "left_anti").withColumn("alone", F.lit(1))
+    kept = others.where("c = 1").dropDuplicates(["doc_id", "m"]).select("doc_id", "text")
+    false_marks = hashed.where(repeated).join(alone, ["doc_id", "m"]).select("doc_id", "text")
+    return hashed.where(~repeated).select("doc_id", "text").union(stored(kept.union(false_marks), "repeated")), several
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component): the smallest id that links reach from each id that has a link.
 

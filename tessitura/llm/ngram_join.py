@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, bitmap, components, documents, gram_hashes, marked_in, mixed, rows, stored, word_hashes
+from .common import WordHash, bitmap, components, documents, gram_hashes, marked_in, mixed, representatives, rows, stored, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 CELLS, BLOCK = 1 << 22, 1 << 16
@@ -85,19 +85,6 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT)
     return rare, np.unique(np.concatenate(made)) if made else np.empty(0, np.uint64)
 
 
-def _representatives(own: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text) of one document of each text; (m, node) of the texts that several rows have."""
-    hashed = own.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("m"))
-    several = stored(hashed.groupBy("m").agg(F.min("doc_id").alias("node"), F.count("*").alias("c")).where("c > 1").select("m", "node"), "texts")
-    repeated = marked_in(bitmap(several, F.xxhash64("m")), F.xxhash64("m"))
-    # Keys are (doc_id, m), so a text that a third of all rows share is dealt out.
-    others = hashed.where(repeated).join(several.withColumnRenamed("node", "doc_id").withColumn("c", F.lit(1)), ["doc_id", "m"], "left")
-    alone = hashed.where(repeated).select("m", "doc_id").join(several, "m", "left_anti").withColumn("alone", F.lit(1))
-    kept = others.where("c = 1").dropDuplicates(["doc_id", "m"]).select("doc_id", "text")
-    false_marks = hashed.where(repeated).join(alone, ["doc_id", "m"]).select("doc_id", "text")
-    return hashed.where(~repeated).select("doc_id", "text").union(stored(kept.union(false_marks), "repeated")), several
-
-
 def _frequent_cells(docs: DataFrame, shingle: int, percent: int) -> np.ndarray:
     """A bit for each cell: whether the count of prefix tokens in it stands out."""
 
@@ -252,7 +239,7 @@ def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tu
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: the smallest doc_id that links reach."""
     own = documents(docs)
-    alone, several = _representatives(own)
+    alone, several = representatives(own)
     joined, _ = links(alone, shingle, percent)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
