@@ -61,7 +61,7 @@ def tok(spark: SparkSession, sf_dir: str, by: str = "source") -> DataFrame:
 
 
 def r6(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.round(n, D6) for n in names})
+    return df.withColumns({n: F.round(n, D6) + F.lit(0.0) for n in names})  # no negative zero
 
 
 def tagged(tokens: DataFrame) -> DataFrame:
@@ -133,7 +133,7 @@ def keyness_logodds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(_keyness(spark, sf_dir).select("author", "lemma", "z", "f", "df", "f_rest"), "z")
 
 
-@query(_KEY + " SELECT author, lemma, round(g2, 6) AS g2, f, df, f_rest FROM ranked")
+@query(_KEY + " SELECT author, lemma, round(g2, 6) + 0.0::DOUBLE AS g2, f, df, f_rest FROM ranked")
 def keyness_g2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r6(_keyness(spark, sf_dir).select("author", "lemma", "g2", "f", "df", "f_rest"), "g2")
 
