@@ -17,9 +17,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed value: the ASCII characters that are white space.
-SPACE_CLASS = "[\\x20\\x09-\\x0D]"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes to bytes: A-Z lower-cased, ASCII other than letters and digits to a space, the rest kept.
 ALNUM = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
@@ -118,14 +115,11 @@ def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
     return mixed(total)
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def spaced_words(text: Column) -> Column:
-    """The words between ASCII white space as an array (null: none), in the JVM."""
-    squeezed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
-    return F.when(squeezed == "", F.array().cast("array<string>")).otherwise(F.split(squeezed, f"{SPACE_CLASS}+"))
+    """The words between ASCII white space as an array (null: none), in the JVM, without regular expressions."""
+    lines = F.replace(F.coalesce(text, F.lit("")), F.lit("\n"), F.lit(" "))
+    odd = F.contains(lines, F.lit("\t")) | F.contains(lines, F.lit("\r")) | F.contains(lines, F.lit("\x0b")) | F.contains(lines, F.lit("\x0c"))
+    return F.array_remove(F.split(F.when(odd, F.translate(lines, "\t\r\x0b\x0c", "    ")).otherwise(lines), " ", -1), "")
 
 
 #: A bitmap has 2^23 bits (1 MB) whatever the input; a full one only means that more rows take the long way.

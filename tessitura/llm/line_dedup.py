@@ -1,6 +1,6 @@
 """Line dedup: lines within one word of an earlier line go, found by a deletion-neighbourhood join.
 
-A line's words are those between ASCII white space, A-Z lower-cased. Lines of MIN_WORDS words or more are duplicates when
+A line's words are those between ASCII white space, lower-cased. Lines of MIN_WORDS words or more are duplicates when
 their words are equal; lines of NEAR_WORDS or more also when one inserted, deleted or replaced word turns one into the
 other. A line goes if a duplicate's first occurrence is earlier, by (doc_id, line number); that is judged on the input.
 
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bitmap, marked_in, spaced_words, stored
+from .common import bitmap, marked_in, spaced_words, stored
 
 MIN_WORDS, NEAR_WORDS = 3, 8
 
@@ -33,9 +33,9 @@ def _key() -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (the text's hash), line, words, n of every line that counts."""
+    """doc_id, th (the text's hash), line, words, n of every line. A filter on n here would split each line twice."""
     split = docs.where("doc_id is not null and text is not null").select("doc_id", _key().alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
-    return split.select("doc_id", "th", "line", spaced_words(ascii_lower(F.col("s"))).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= MIN_WORDS)
+    return split.select("doc_id", "th", "line", spaced_words(F.lower("s")).alias("words")).withColumn("n", F.size("words"))
 
 
 def _hashes(words: Column) -> list[Column]:
@@ -58,7 +58,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     firsts = stored(
         lines.groupBy("h", "g").agg(
             F.min(F.struct("doc_id", "line", "th")).alias("first"), F.count("*").alias("times"), F.max("n").alias("n"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4))
-        ),
+        ).where(F.col("n") >= MIN_WORDS),
         "lines",
     )
     halves = firsts.where(F.col("n") >= NEAR_WORDS).select("h", "g", F.explode(F.array(*(f"k{i}" for i in range(4)))).alias("k"))
@@ -81,7 +81,7 @@ def _nearest(docs: DataFrame, places: DataFrame) -> DataFrame:
     bits = bitmap(places, F.col("first.th"))
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", _key().alias("th"), "text").where(marked_in(bits, F.col("th")))
     own = texts.join(wanted, ["doc_id", "th"]).select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("at").alias("at"))
-    own = own.select("at.h", "at.g", F.struct("doc_id", "at.line").alias("first"), spaced_words(ascii_lower(F.get("lines", F.col("at.line")))).alias("words"))
+    own = own.select("at.h", "at.g", F.struct("doc_id", "at.line").alias("first"), spaced_words(F.lower(F.get("lines", F.col("at.line")))).alias("words"))
     own = own.select("h", "g", "first", "words", F.size("words").alias("n"))
     deleted = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.xxhash64(F.col("n") - 1, F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, F.greatest(F.col("n") - i - 1, F.lit(0))))).alias("v"), i.alias("at")))
     whole = F.array(F.struct(F.xxhash64(F.col("n"), F.col("words")).alias("v"), F.lit(-1).alias("at")))
@@ -126,7 +126,7 @@ SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL
 ), o AS (
-  SELECT r, doc_id, i - 1 AS line, list_filter(regexp_split_to_array(translate(lines[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
+  SELECT r, doc_id, i - 1 AS line, list_filter(regexp_split_to_array(lower(lines[i]), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words
   FROM (SELECT r, doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)
 ), l AS (SELECT * FROM o WHERE len(words) >= {MIN_WORDS}
 ), f AS (SELECT words, min((doc_id, line)) AS first FROM l GROUP BY words
