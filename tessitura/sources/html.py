@@ -107,6 +107,33 @@ class _Builder(HTMLParser):
         self.open.children.append(Node("!", {"text": data}, self.open))
 
 
+_STEP = re.compile(r"^([a-z0-9]*)(?:#([\w-]+))?((?:\.[\w-]+)*)$")
+
+
+def select(root: Node, path: str) -> list[Node]:
+    """Elements by a path of tag#id.class steps; a step after '>' is a child, others stand anywhere below."""
+    found, direct = [root], False
+    for step in path.split():
+        if step == ">":
+            direct = True
+            continue
+        name, ident, classes = _STEP.match(step).groups()
+        wanted = set(classes.split(".")[1:])
+        fits = lambda n: isinstance(n, Node) and n.name != "!" and (not name or n.name == name) and (not ident or n.attrs.get("id") == ident) and wanted <= set(n.classes)  # noqa: E731, B023
+        below = [n for f in found for n in (f.children if direct else f.walk()) if fits(n)]
+        found, direct = list({id(n): n for n in below}.values()), False
+    return found
+
+
+def first(root: Node, path: str) -> Node | None:
+    return next(iter(select(root, path)), None)
+
+
+def label(node: Node | None) -> str:
+    """An element's text on one line."""
+    return " ".join(node.raw().split()) if node else ""
+
+
 def parse(html: str) -> Node:
     """The tree of a page; no page is refused."""
     builder = _Builder()
