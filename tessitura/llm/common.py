@@ -13,7 +13,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 ALNUM = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
 )
-_WORD_CACHE = 1_000_000
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -80,18 +79,70 @@ def rows(batches: Iterable[pa.RecordBatch], key: str = "doc_id", text: str = "te
         yield keys, texts
 
 
-class WordHash(dict):
-    """Word (bytes) to a 64-bit hash; the first million different words are remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < _WORD_CACHE:
-            self[word] = h
-        return h
-
-
-def word_hashes(words: list[bytes], memo: WordHash) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+_BASE = 0x9E3779B97F4A7C15
+_LETTER = np.random.default_rng(20260928).integers(1 << 62, 1 << 63, 256, np.uint64)
+_IN_WORD = np.array([c not in b" \t\n\x0b\x0c\r" for c in range(256)])
+_POWERS: dict[str, np.ndarray] = {}
+#: Bytes that are hashed at once; a longer text is cut between words.
+HASHED_BYTES = 1 << 21
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS.get("up", ())) < n:
+        size = max(n, HASHED_BYTES + 4096)
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWERS[name] = np.cumprod(steps)
+    return _POWERS["up"][:n], _POWERS["down"][:n]
+
+
+def _buffer_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of each word of a buffer: a polynomial over random letter values, from differences of one running sum."""
+    letters = np.frombuffer(data, np.uint8)
+    up, down = _powers(len(letters))
+    edges = np.diff(_IN_WORD[letters].view(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    sums = np.empty(len(letters) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(_LETTER[letters] * up, out=sums[1:])
+    return starts, mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> list[np.ndarray]:
+    """64-bit hashes of each text's words between ASCII white space, in order; lower: A-Z are lower-cased first."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+
+    def flush() -> None:
+        nonlocal size
+        if held:
+            data = b" ".join(held)
+            starts, hashes = _buffer_hashes(data.lower() if lower else data)
+            ends = np.cumsum([len(t) + 1 for t in held])
+            out.extend(np.split(hashes, np.searchsorted(starts, ends[:-1])))
+            held.clear()
+            size = 0
+
+    for text in texts:
+        if len(text) > HASHED_BYTES:
+            flush()
+            parts, at = [], 0
+            while at < len(text):
+                cut = _SPACE.search(text, min(len(text), at + HASHED_BYTES))
+                end = cut.start() if cut else len(text)
+                part = text[at:end]
+                parts.append(_buffer_hashes(part.lower() if lower else part)[1])
+                at = end
+            out.append(np.concatenate(parts))
+            continue
+        if size + len(text) > HASHED_BYTES:
+            flush()
+        held.append(text)
+        size += len(text) + 1
+    flush()
+    return out
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

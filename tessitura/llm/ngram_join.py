@@ -22,6 +22,7 @@ different texts are one node of the graph; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, bitmap, components, documents, gram_hashes, marked_in, mixed, representatives, rows, stored, word_hashes
+from .common import bitmap, components, documents, gram_hashes, marked_in, mixed, representatives, rows, stored, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 CELLS, BLOCK = 1 << 22, 1 << 16
@@ -43,9 +44,9 @@ while _BOUNDS[-1] < 1 << 40:
 _BOUNDS_ARRAY = np.array(_BOUNDS)
 
 
-def shingle_set(text: bytes, memo: WordHash, k: int = SHINGLE) -> np.ndarray:
-    h = word_hashes(text.lower().split(), memo)
-    return np.unique(gram_hashes(h, min(k, len(h)))) if len(h) else h
+def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
+    """The sorted hashes of each text's different shingles."""
+    return [np.unique(gram_hashes(h, min(k, len(h)))) if len(h) else h for h in word_hashes(texts, lower=True)]
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -89,9 +90,9 @@ def _frequent_cells(docs: DataFrame, shingle: int, percent: int) -> np.ndarray:
     """A bit for each cell: whether the count of prefix tokens in it stands out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, held = WordHash(), np.zeros(CELLS, np.int32)
+        held = np.zeros(CELLS, np.int32)
         for _, texts in rows(batches):
-            found = [shingle_set(t, memo, shingle) for t in texts]
+            found = shingle_sets(texts, shingle)
             taken = [cells(s[: prefix_length(len(s), percent)]) for s in found if len(s)]
             if taken:
                 held += np.bincount(np.concatenate(taken), minlength=CELLS).astype(np.int32)
@@ -119,27 +120,33 @@ def _frequent_cells(docs: DataFrame, shingle: int, percent: int) -> np.ndarray:
     return bits
 
 
-def _postings(docs: DataFrame, bits, pairs: bool, shingle: int, percent: int) -> DataFrame:
-    """sig, doc, n, w of the single or the pair signatures; w: the share of frequent tokens in thousandths."""
+def _signed(docs: DataFrame, bits, shingle: int, percent: int) -> DataFrame:
+    """m (md5 of the text), doc, n, w, singles, pairs of every document; w: the share of frequent tokens in thousandths."""
+    kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, flags = WordHash(), bits.value
+        flags = bits.value
         for keys, texts in rows(batches, slab=2_000_000):
-            sigs, docs_, sizes, shares = [], [], [], []
-            for key, text in zip(keys, texts, strict=True):
-                tokens = shingle_set(text, memo, shingle)
-                if len(tokens):
-                    at = cells(tokens)
-                    frequent = (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-                    got = signatures(tokens, frequent, percent)[pairs]
-                    sigs.append(got)
-                    docs_.append(np.full(len(got), key, np.int64))
-                    sizes.append(np.full(len(got), len(tokens), np.int32))
-                    shares.append(np.full(len(got), 1000 * frequent.sum() // len(tokens), np.int32))
-            if sigs:
-                yield pa.RecordBatch.from_pydict({"sig": np.concatenate(sigs).view(np.int64), "doc": np.concatenate(docs_), "n": np.concatenate(sizes), "w": np.concatenate(shares)})
-
-    return docs.mapInArrow(run, "sig long, doc long, n int, w int")
+            sizes, shares, singles, pairs = [], [], [], []
+            for tokens in shingle_sets(texts, shingle):
+                at = cells(tokens)
+                frequent = (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                one, two = signatures(tokens, frequent, percent) if len(tokens) else (tokens, tokens)
+                singles.append(one.view(np.int64))
+                pairs.append(two.view(np.int64))
+                sizes.append(len(tokens))
+                shares.append(1000 * int(frequent.sum()) // max(1, len(tokens)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([hashlib.md5(t).hexdigest() for t in texts]), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(shares, pa.int32()), _lists(singles, kind), _lists(pairs, kind)],
+                ["m", "doc", "n", "w", "singles", "pairs"],
+            )
+
+    return docs.mapInArrow(run, "m string, doc long, n int, w int, singles array<bigint>, pairs array<bigint>")
+
+
+def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else [], pa.int64()), type=kind)
 
 
 def _possible(n, m, percent: int):
@@ -161,7 +168,6 @@ def _first_pairs(singles: DataFrame, combined: DataFrame, percent: int) -> tuple
     near = stored(near, "singles")
     one = near.select("doc", "n", F.explode(F.array_distinct("peers")).alias("p")).where("p is not null")
     one = one.where(_possible(F.col("n"), F.col("p.n"), percent)).select("doc", F.col("p.doc").alias("other"))
-    combined = stored(combined, "pairs")
     top = combined.groupBy("sig").agg(F.count("*").alias("c"), F.max(F.struct("w", (-F.col("doc")).alias("d"), "n")).alias("top")).where("c > 1")
     centred = combined.join(top, "sig")
     two = centred.where(_possible(F.col("n"), F.col("top.n"), percent)).select("doc", (-F.col("top.d")).alias("other"))
@@ -185,13 +191,10 @@ def verify(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Dat
     heads = salted.select("a", "salt").distinct().join(packed, F.col("a") == F.col("id")).select("a", "salt", F.lit(None).cast("long").alias("b"), "z")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, opener = WordHash(), zstandard.ZstdDecompressor()
         head, sets = None, []
         for batch in batches:
-            a_s, b_s = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             found: list[tuple[int, int]] = []
-            for i, (a, b) in enumerate(zip(a_s, b_s, strict=True)):
-                tokens = shingle_set(opener.decompress(batch.column(3)[i].as_py()), memo, shingle)
+            for a, b, tokens in _opened(batch, shingle):
                 if b is None:
                     sets = [*sets, tokens] if a == head else [tokens]
                     head = a
@@ -210,11 +213,22 @@ def verify(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Dat
     return stored(dealt.mapInArrow(run, "a long, b long"), "links")
 
 
-def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(id, component) of the linked representatives; (a, b) links that hold every component together."""
+def _opened(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int | None, np.ndarray]]:
+    """a, b and the set of each row, some hundred texts at a time."""
+    opener = zstandard.ZstdDecompressor()
+    a_s, b_s = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+    for lo in range(0, batch.num_rows, 256):
+        hi = min(lo + 256, batch.num_rows)
+        yield from zip(a_s[lo:hi], b_s[lo:hi], shingle_sets([opener.decompress(batch.column(3)[i].as_py()) for i in range(lo, hi)], shingle), strict=True)
+
+
+def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of documents with different texts: (id, component) of the linked ones; (a, b) links that hold every component
+    together; (m, doc, n, ...) of all."""
     session = docs.sparkSession
     bits = session.sparkContext.broadcast(_frequent_cells(docs, shingle, percent))  # CELLS / 8 bytes, whatever the input
-    pairs, left = _first_pairs(_postings(docs, bits, False, shingle, percent), _postings(docs, bits, True, shingle, percent), percent)
+    signed = stored(_signed(docs, bits, shingle, percent), "signatures")
+    pairs, left = _first_pairs(*(signed.select(F.explode(c).alias("sig"), "doc", "n", "w") for c in ("singles", "pairs")), percent)
     tested = stored(pairs, "candidates")
     found = verify(docs, tested, shingle, percent)
     left = stored(left, "buckets")
@@ -225,7 +239,7 @@ def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tu
         mixed_ = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
         left = stored(placed.join(mixed_, "sig"), "buckets")
         if left.isEmpty():
-            return joined, found
+            return joined, found, signed
         centres *= MORE
         ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("w"), "doc")))
         middle = ranked.where(F.col("rank") <= centres).select("sig", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("component").alias("its"))
@@ -239,17 +253,10 @@ def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tu
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: the smallest doc_id that links reach."""
     own = documents(docs)
-    alone, several = representatives(own)
-    joined, _ = links(alone, shingle, percent)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
-        for batch in batches:
-            texts = batch.column(1).cast(pa.large_binary())
-            sizes = [len(shingle_set(t.as_py() or b"", memo, shingle)) for t in texts]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(sizes, pa.int64()), "m": batch.column(2)})
-
-    sized = own.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("m")).mapInArrow(count, "doc_id long, n_shingles long, m string")
-    node = F.when((F.col("n_shingles") > 0) & F.col("node").isNotNull(), F.col("node")).otherwise(F.col("doc_id"))
-    noded = sized.join(several, "m", "left").select("doc_id", "n_shingles", node.alias("id"))
+    alone, _ = representatives(own)
+    joined, _, signed = links(alone, shingle, percent)
+    # Every text has one representative, which stands for its copies.
+    known = signed.select("m", F.col("doc").alias("node"), F.col("n").cast("bigint").alias("n_shingles")).dropDuplicates(["m"])
+    noded = own.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("m")).join(known, "m")
+    noded = noded.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("id"))
     return noded.join(joined, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))

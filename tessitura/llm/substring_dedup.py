@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITS, WordHash, bitmap, documents, gram_hashes, marked_in, representatives, rows, stored, word_hashes
+from .common import BITS, bitmap, documents, gram_hashes, marked_in, representatives, rows, stored, word_hashes
 
 WINDOW, GRAM = 13, 5
 SHARD_WORDS = 300_000
@@ -132,9 +132,8 @@ def _shared_anchors(docs: DataFrame) -> DataFrame:
     """anchor of those that two documents hold or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         for _, texts in rows(batches):
-            found = [np.unique(anchors(word_hashes(t.split(), memo))[0]) for t in texts]
+            found = [np.unique(anchors(h)[0]) for h in word_hashes(texts)]
             yield pa.RecordBatch.from_pydict({"anchor": np.concatenate(found).view(np.int64)})
 
     return docs.mapInArrow(run, "anchor long").groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
@@ -150,9 +149,8 @@ def _bits(df: DataFrame) -> np.ndarray:
     return words.view(np.uint64)
 
 
-def _marked_regions(text: bytes, bits: np.ndarray, memo: WordHash) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(anchor, first window, windows, words) of a text's regions whose anchor may be shared."""
-    h = word_hashes(text.split(), memo)
+def _marked_regions(h: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(anchor, first window, windows, words) of the regions, of a text's word hashes, whose anchor may be shared."""
     found, first, count = anchors(h)
     at = found % np.uint64(BITS)
     for i in np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).tolist():
@@ -190,11 +188,10 @@ def removed_windows(docs: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(_bits(_shared_anchors(docs)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         for keys, texts in rows(batches, slab=2_000_000):
             held: dict[tuple[int, bytes], list[int]] = {}
-            for key, text in zip(keys, texts, strict=True):
-                for anchor, _, _, words in _marked_regions(text, bits.value, memo):
+            for key, h in zip(keys, word_hashes(texts), strict=True):
+                for anchor, _, _, words in _marked_regions(h, bits.value):
                     got = held.setdefault((anchor, words.tobytes()), [key, key])
                     got[0], got[1] = min(got[0], key), max(got[1], key)
             yield pa.RecordBatch.from_pydict({
@@ -203,9 +200,8 @@ def removed_windows(docs: DataFrame) -> DataFrame:
             })
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         for keys, texts in rows(batches, slab=2_000_000):
-            found = [(anchor, region_id(words), key, first) for key, text in zip(keys, texts, strict=True) for anchor, first, _, words in _marked_regions(text, bits.value, memo)]
+            found = [(anchor, region_id(words), key, first) for key, h in zip(keys, word_hashes(texts), strict=True) for anchor, first, _, words in _marked_regions(h, bits.value)]
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], ["anchor", "region", "doc_id", "first"])
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
