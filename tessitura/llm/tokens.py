@@ -79,21 +79,23 @@ class PieceEncoder:
         first, *parts = text.split(" ")
         if self.lowers:
             parts.insert(0, first)
-        known, out = self.parts, []
+        head = b""
         if not self.lowers:
             if not first or first[0].isspace() or first[-1].isspace() or self.specials.search(first):
                 return self._plain(text)
-            out.append(self._pieces(first))
-        for part in parts:
-            got = known.get(part)
+            head = self._pieces(first)
+        known = self.parts
+        out = list(map(known.get, parts))
+        at = -1
+        for _ in range(out.count(None)):
+            at = out.index(None, at + 1)
+            got = known.get(parts[at]) or self._part(parts[at] if self.lowers else " " + parts[at])
             if got is None:
-                got = self._part(part if self.lowers else " " + part)
-                if got is None:
-                    return self._plain(text)
-                if len(known) < self.limit:
-                    known[part] = got
-            out.append(got)
-        return b"".join(out)
+                return self._plain(text)
+            if len(known) < self.limit:
+                known[parts[at]] = got
+            out[at] = got
+        return head + b"".join(out)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
