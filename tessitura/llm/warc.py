@@ -111,6 +111,8 @@ class _Members:
         if not self.packed:
             self.packed = self.stream.read(1 << 18)
             if not self.packed:
+                if self.engine:
+                    raise ValueError("cut archive")
                 return False
         if self.engine is None:
             self.engine = zlib.decompressobj(31) if self.packed[:1] == b"\x1f" else False
@@ -150,6 +152,8 @@ def parse_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         while (line := source.line()) not in (b"\r\n", b""):
             k, _, v = line.decode().partition(":")
             fields[k.strip().lower()] = v.strip()
+        if "content-length" not in fields:
+            raise ValueError("cut record")
         yield fields, source.take(int(fields["content-length"]))
 
 
