@@ -110,7 +110,7 @@ def _frequent_cells(docs: DataFrame, shingle: int, percent: int) -> np.ndarray:
                 sums[b] += np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), np.int32)
         for b, total in sums.items():
             mean = total.mean()
-            flags = total > mean + 6 * np.sqrt(mean) + 4
+            flags = total > mean + 4 * np.sqrt(mean) + 2
             yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
 
     summed = docs.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, flags binary")
@@ -121,7 +121,7 @@ def _frequent_cells(docs: DataFrame, shingle: int, percent: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, bits, shingle: int, percent: int) -> DataFrame:
-    """m (md5 of the text), doc, n, w, singles, pairs of every document; w: the share of frequent tokens in thousandths."""
+    """m (md5 of the text), doc, n, w, singles, pairs of every document; w: how many of its tokens are frequent."""
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,7 +135,7 @@ def _signed(docs: DataFrame, bits, shingle: int, percent: int) -> DataFrame:
                 singles.append(one.view(np.int64))
                 pairs.append(two.view(np.int64))
                 sizes.append(len(tokens))
-                shares.append(1000 * int(frequent.sum()) // max(1, len(tokens)))
+                shares.append(int(frequent.sum()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([hashlib.md5(t).hexdigest() for t in texts]), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(shares, pa.int32()), _lists(singles, kind), _lists(pairs, kind)],
                 ["m", "doc", "n", "w", "singles", "pairs"],
@@ -153,6 +153,12 @@ def _possible(n, m, percent: int):
     return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
 
+def _possible_by_frequent(w, v, n, m, percent: int):
+    """For documents that meet in a pair signature. One that has such signatures has all its rare tokens as single ones,
+    so if two share a rare token they meet there too; else they share frequent tokens alone, and need enough of them."""
+    return (100 + percent) * F.least(w, v) >= percent * (n + m)
+
+
 def _pairs(found: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b, of rows with doc and other."""
     return found.where("doc <> other").select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
@@ -161,17 +167,19 @@ def _pairs(found: DataFrame) -> DataFrame:
 def _first_pairs(singles: DataFrame, combined: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Pairs of each bucket's members with its centre and nearest; and the postings of buckets that this doesn't cover."""
     within = Window.partitionBy("sig")
-    order = within.orderBy(F.desc("w"), "doc")
+    order = within.orderBy(F.desc(F.col("w") / F.col("n")), "doc")
     peers = F.array(F.first(F.struct("doc", "n")).over(order), *(F.lag(F.struct("doc", "n"), i).over(order) for i in range(1, NEAREST + 1)))
     # A rare token's bucket is small by the choice of classes; a pair's may be large, so it is aggregated and joined.
     near = singles.select("sig", "doc", "n", "w", F.count("*").over(within).alias("c"), peers.alias("peers")).where("c > 1")
     near = stored(near, "singles")
     one = near.select("doc", "n", F.explode(F.array_distinct("peers")).alias("p")).where("p is not null")
     one = one.where(_possible(F.col("n"), F.col("p.n"), percent)).select("doc", F.col("p.doc").alias("other"))
-    top = combined.groupBy("sig").agg(F.count("*").alias("c"), F.max(F.struct("w", (-F.col("doc")).alias("d"), "n")).alias("top")).where("c > 1")
+    top = combined.groupBy("sig").agg(F.count("*").alias("c"), F.max(F.struct((F.col("w") / F.col("n")).alias("share"), (-F.col("doc")).alias("d"), "n", "w")).alias("top")).where("c > 1")
     centred = combined.join(top, "sig")
-    two = centred.where(_possible(F.col("n"), F.col("top.n"), percent)).select("doc", (-F.col("top.d")).alias("other"))
-    left = near.where(F.col("c") > NEAREST + 1).select("sig", "doc", "n", "w", "c").union(centred.where("c > 2").select("sig", "doc", "n", "w", "c"))
+    two = centred.where(_possible(F.col("n"), F.col("top.n"), percent) & _possible_by_frequent(F.col("w"), F.col("top.w"), F.col("n"), F.col("top.n"), percent))
+    two = two.select("doc", (-F.col("top.d")).alias("other"))
+    left = near.where(F.col("c") > NEAREST + 1).select("sig", "doc", "n", "w", "c", F.lit(False).alias("paired"))
+    left = left.union(centred.where("c > 2").select("sig", "doc", "n", "w", "c", F.lit(True).alias("paired")))
     return _pairs(one.union(two)), left
 
 
@@ -235,19 +243,20 @@ def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tu
     centres = FIRST_CENTRES
     while True:
         joined = stored(components(found), "components")
-        placed = left.join(joined.withColumnRenamed("id", "doc"), "doc", "left").select("sig", "doc", "n", "w", "c", F.coalesce("component", "doc").alias("component"))
+        placed = left.join(joined.withColumnRenamed("id", "doc"), "doc", "left").select("sig", "doc", "n", "w", "c", "paired", F.coalesce("component", "doc").alias("component"))
         mixed_ = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
         left = stored(placed.join(mixed_, "sig"), "buckets")
         if left.isEmpty():
             return joined, found, signed
         centres *= MORE
-        ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc("w"), "doc")))
-        middle = ranked.where(F.col("rank") <= centres).select("sig", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("component").alias("its"))
+        ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc(F.col("w") / F.col("n")), "doc")))
+        middle = ranked.where(F.col("rank") <= centres).select("sig", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("w").alias("v"), F.col("component").alias("its"))
         more = left.join(middle, "sig").where(F.col("component") != F.col("its")).where(_possible(F.col("n"), F.col("m"), percent))
+        more = more.where(~F.col("paired") | _possible_by_frequent(F.col("w"), F.col("v"), F.col("n"), F.col("m"), percent))
         fresh = stored(_pairs(more.select("doc", "other")).join(tested, ["a", "b"], "left_anti"), "candidates")
         tested = tested.union(fresh)
         found = found.union(verify(docs, fresh, shingle, percent))
-        left = left.where(F.col("c") > centres).select("sig", "doc", "n", "w", "c")
+        left = left.where(F.col("c") > centres).select("sig", "doc", "n", "w", "c", "paired")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
