@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BITS, bitmap, documents, gram_hashes, marked_in, representatives, rows, stored, word_hashes
+from .common import bitmap, documents, gram_hashes, marked_in, representatives, rows, stored, word_hashes
 
 WINDOW, GRAM = 13, 5
 SHARD_WORDS = 300_000
+#: Shared anchors are marked in 2^26 bits (8 MB) whatever the input; a full bitmap only means that more regions are dealt out.
+ANCHOR_BITS = 1 << 26
 
 
 class WaveletMatrix:
@@ -140,11 +142,11 @@ def _shared_anchors(docs: DataFrame) -> DataFrame:
 
 
 def _bits(df: DataFrame) -> np.ndarray:
-    """BITS / 8 bytes at most, whatever the input: a bit for each anchor mod BITS."""
-    at = F.pmod(F.col("anchor"), F.lit(BITS))
+    """ANCHOR_BITS / 8 bytes at most, whatever the input: a bit for each anchor mod ANCHOR_BITS."""
+    at = F.pmod(F.col("anchor"), F.lit(ANCHOR_BITS))
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("i") % 64).cast("int"))
     filled = df.select(at.alias("i")).groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(bit).alias("m")).toPandas()
-    words = np.zeros(BITS // 64, np.int64)
+    words = np.zeros(ANCHOR_BITS // 64, np.int64)
     words[filled["w"].to_numpy(np.int64)] = filled["m"].to_numpy(np.int64)
     return words.view(np.uint64)
 
@@ -152,7 +154,7 @@ def _bits(df: DataFrame) -> np.ndarray:
 def _marked_regions(h: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(anchor, first window, windows, words) of the regions, of a text's word hashes, whose anchor may be shared."""
     found, first, count = anchors(h)
-    at = found % np.uint64(BITS)
+    at = found % np.uint64(ANCHOR_BITS)
     for i in np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).tolist():
         yield int(found.view(np.int64)[i]), int(first[i]), int(count[i]), h[first[i] : first[i] + count[i] + WINDOW - 1]
 
