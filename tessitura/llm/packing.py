@@ -1,8 +1,8 @@
 """Lexical retrieval packing: every piece of every document into windows, next to the documents most like it.
 
 Documents are cut into shards of bounded size as a task reads them. A shard has a BM25 inverted index over token ids.
-The first unused document is the seed of a window; its rarest terms are looked up, and the unused neighbours with the
-highest BM25 scores fill the window. The last one taken is cut at the window's edge and its rest is the next seed, so no
+The first unused document is the seed of a window; all its terms are looked up, and the unused neighbours of its shard
+with the highest BM25 scores fill the window. The last one taken is cut at the window's edge and its rest is the next seed, so no
 window but a task's last has padding; what a shard leaves unfilled goes on as the seed of the next shard. A task's last
 tokens are cut into windows whose lengths are powers of two, which need no padding.
 
@@ -27,7 +27,9 @@ from .tokens import encoder
 
 WINDOW = 2048
 K1, B = 1.2, 0.75
-SHARD_TOKENS, SHARD_DOCS, QUERY_TERMS = 1_000_000, 1500, 24
+SHARD_TOKENS, SHARD_DOCS = 1_000_000, 1500
+#: Terms that one document in so many holds have their impacts as dense rows: at most 4 * DENSE bytes a posting.
+DENSE = 8
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -51,16 +53,24 @@ class Bm25Index:
         self.ends = np.cumsum(df)
         self.df = df
         self.terms = [t for t, _ in held]
+        common = np.flatnonzero(df * DENSE > self.n)
+        self.row = np.full(len(df), -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        for i, t in enumerate(common.tolist()):
+            cut = slice(self.ends[t] - df[t], self.ends[t])
+            self.dense[i, self.docs[cut]] = self.impact[cut]
 
     def neighbours(self, terms: np.ndarray, used: np.ndarray, at_most: int) -> np.ndarray:
-        """Unused documents by falling BM25 score for the query's rarest terms that others hold too, ties by place."""
+        """Unused documents by falling BM25 score for all the query's terms that others hold too, ties by place."""
         terms = terms[self.df[terms] > 1]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argsort(-self.idf[terms], kind="stable")[:QUERY_TERMS]]
         if not len(terms):
             return np.empty(0, np.int64)
-        cuts = [slice(self.ends[t] - self.df[t], self.ends[t]) for t in terms]
-        scores = np.bincount(np.concatenate([self.docs[c] for c in cuts]), np.concatenate([self.impact[c] for c in cuts]), self.n)
+        rows = self.row[terms]
+        scores = self.dense[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
+        cuts = [slice(e - n, e) for e, n in zip(self.ends[terms[rows < 0]].tolist(), self.df[terms[rows < 0]].tolist(), strict=True)]
+        if cuts:
+            scores += np.bincount(np.concatenate([self.docs[c] for c in cuts]), np.concatenate([self.impact[c] for c in cuts]), self.n)
         scores[used] = 0
         found = np.flatnonzero(scores)
         return found[np.argsort(-scores[found], kind="stable")[:at_most]]

@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -13,6 +13,8 @@ from tokenizers import Tokenizer
 
 from tessitura.llm import binary_records, decontaminate, licenses, packing, quality
 
+from .conftest import words
+
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -93,6 +95,22 @@ def test_packing_puts_likeness_together():
     assert len(sequences) == 4 and all(len(s) == 1 for s in sequences)
 
 
+def test_packing_looks_up_all_terms():
+    rare, shared = np.arange(24), np.arange(100, 200)
+    docs = [np.concatenate([rare, shared]), *(np.array([t]) for t in rare), shared, *(np.array([t, 300]) for t in shared)]
+    docs += [np.array([400 + k]) for k in range(40)]
+    index = packing.Bm25Index(docs, 500)
+    assert index.neighbours(index.terms[0], np.arange(len(docs)) == 0, 1).tolist() == [25]
+    # Against plain BM25 over every term of the seed, rare and common.
+    texts = [np.array([int(w[1:]) for w in words(k, 40, 60 + 400 * (k % 2))]) for k in range(80)]
+    index, mean = packing.Bm25Index(texts, 500), sum(map(len, texts)) / 80
+    df = Counter(t for x in texts for t in set(x.tolist()))
+    for q in range(80):
+        score = [sum(np.log1p((80 - df[t] + 0.5) / (df[t] + 0.5)) * (n := (x == t).sum()) * 2.2 / (n + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in set(texts[q].tolist())) for x in texts]
+        got = index.neighbours(index.terms[q], np.arange(80) == q, 5)
+        assert np.allclose([score[d] for d in got], sorted((s for d, s in enumerate(score) if d != q), reverse=True)[:5], rtol=1e-4)
+
+
 def test_licenses(make, corpus):
     rows = [*corpus, (200, "Released under the GNU General Public License, or MIT-License; cc by CC BY"), (201, "the Apach License and the MIT licence"), (202, "permit license apachelicense"), (203, "aphache licence")]
     got = by_id(licenses.scan(make(rows)))
