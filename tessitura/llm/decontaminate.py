@@ -3,7 +3,10 @@
 Each task indexes the texts it reads, shard by shard: for every test term the sorted list of its positions. A test
 window is found by starting from its rarest term in the shard and intersecting the lists, each shifted by the term's
 place in the window, so common words are touched last and only where the rare ones agree. Windows with a term that the
-shard lacks are dropped at once. Proximity: the three rarest terms of an item within `slop` words of one another.
+shard lacks are dropped at once. Proximity: an item is near where three quarters of its different terms, absent ones
+being misses, lie within a span of its own length and `slop` words more, in one text. Every such span holds one of the
+item's rarest terms (as many as may miss and one more), so only their places are tried; what is found is the same
+whatever texts a shard holds.
 
 The test set is stored once in the shared folder and each task reads it block by block: its size is bounded by no
 broadcast. Texts are never shuffled.
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 from .common import ALNUM, documents, filesystem, fresh_path, rows
 
 WORDS, SLOP, BLOCK_ITEMS = 10, 20, 20_000
+#: The share of an item's different terms that a near place has, in quarters.
+NEAR_QUARTERS = 3
 _SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long, item_ids array<long>"
 
 
@@ -37,12 +42,12 @@ class TestBlock:
     def __init__(self, ids: list[int], texts: list[bytes], words: int) -> None:
         self.terms: dict[bytes, int] = {}
         windows: dict[tuple[int, ...], set[int]] = defaultdict(set)
-        self.items: list[tuple[int, list[int]]] = []
+        self.items: list[tuple[int, list[int], int]] = []  # item, its different terms, its words
         for item, text in zip(ids, texts, strict=True):
             own = [self.terms.setdefault(w, len(self.terms)) for w in text.translate(ALNUM).split()]
             for i in range(max(1, len(own) - words + 1) if own else 0):
                 windows[tuple(own[i : i + words])].add(item)
-            self.items.append((item, sorted(set(own))))
+            self.items.append((item, sorted(set(own)), len(own)))
         self.windows = list(windows.items())
         self.width = max((len(w) for w, _ in self.windows), default=0)
         self.grid = np.full((len(self.windows), max(1, self.width)), -1, np.int64)
@@ -65,7 +70,7 @@ class PositionalIndex:
         self.positions = held[order]
         self.df = np.bincount(flat[held], minlength=max(1, len(terms)))
         self.ends = np.cumsum(self.df)
-        self.size = len(flat)
+        self.flat = flat
 
     def postings(self, term: int) -> np.ndarray:
         return self.positions[self.ends[term] - self.df[term] : self.ends[term]]
@@ -86,19 +91,41 @@ class PositionalIndex:
             starts = starts[self.within(starts + i, self.postings(window[i]))]
         return starts
 
-    def near(self, terms: list[int], slop: int) -> np.ndarray:
-        """Positions of the rarest term that have the next two rarest at most slop words away, in the same text."""
-        rare = sorted((t for t in terms), key=lambda t: self.df[t])[:3]
-        if len(rare) < 3 or not self.df[rare[0]]:
+    def near(self, terms: list[int], span: int) -> np.ndarray:
+        """Texts in which NEAR_QUARTERS quarters of the terms, rounded up, lie within so many words in a row."""
+        needed = -(-len(terms) * NEAR_QUARTERS // 4)
+        spare = len(terms) - needed
+        rare = sorted(terms, key=lambda t: self.df[t])
+        if not terms or not self.df[rare[spare]]:
             return np.empty(0, np.int64)
-        found = self.postings(rare[0])
+        found = np.sort(np.concatenate([self.postings(t) for t in rare[: spare + 1]]))
         doc = self.doc_of(found)
-        lo, hi = np.maximum(found - slop, self.starts[doc]), np.minimum(found + slop, self.starts[doc + 1] - 2)
-        keep = np.ones(len(found), bool)
-        for t in rare[1:]:
+        lo, hi = np.maximum(found - span + 1, self.starts[doc]), np.minimum(found + span - 1, self.starts[doc + 1] - 2)
+        missed = np.zeros(len(found), np.int64)
+        for t in rare:
             there = self.postings(t)
-            keep &= np.searchsorted(there, hi, "right") > np.searchsorted(there, lo)
-        return found[keep]
+            missed += np.searchsorted(there, hi, "right") == np.searchsorted(there, lo)
+            keep = missed <= spare
+            if not keep.all():
+                found, doc, lo, hi, missed = found[keep], doc[keep], lo[keep], hi[keep], missed[keep]
+            if not len(found):
+                break
+        wanted, near = set(terms), set()
+        for d, a, b in zip(doc.tolist(), lo.tolist(), hi.tolist(), strict=True):
+            if d not in near and self._holds(self.flat[a : b + 1], wanted, needed, span):
+                near.add(d)
+        return np.array(sorted(near), np.int64)
+
+    @staticmethod
+    def _holds(words: np.ndarray, wanted: set[int], needed: int, span: int) -> bool:
+        """Whether so many different wanted terms lie within span words in a row."""
+        last: dict[int, int] = {}
+        for i, t in enumerate(words.tolist()):
+            if t in wanted:
+                last[t] = i
+                if len(last) >= needed and sum(j > i - span for j in last.values()) >= needed:
+                    return True
+        return False
 
     def doc_of(self, positions: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, positions, "right") - 1
@@ -121,8 +148,8 @@ def search(texts: list[list[bytes]], blocks: Iterator[TestBlock], slop: int) ->
                 np.add.at(change, found + len(window), -1)
                 for d in np.unique(index.doc_of(found)).tolist():
                     exact[d] |= items
-        for item, terms in block.items:
-            for d in np.unique(index.doc_of(index.near(terms, slop))).tolist():
+        for item, terms, n_words in block.items:
+            for d in index.near(terms, n_words + slop).tolist():
                 near[d].add(item)
     covered = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
     return covered[starts[1:]] - covered[starts[:-1]], exact, near

@@ -171,6 +171,27 @@ def test_proximity():
     assert decontaminate.search(near, iter([block]), 20)[2] == [{1}, set(), set()]
 
 
+def test_proximity_of_altered_passages():
+    item = [f"t{k}" for k in range(16)]
+    altered = item[:7] + ["odd"] + item[8:]
+    rows = [altered, item[:3] + ["u"] * 5 + item[8:], item[::-1], item[:12] + ["pad"] * 24 + item[12:], item[:11], item[:6] + ["pad"] * 25 + item[6:12], ["pad"] * 30 + altered]
+    items = [1, 2], [" ".join(item).encode(), b"t0 t1"]
+    wanted = [{1, 2}, {2}, {1, 2}, {1, 2}, {2}, {2}, {1, 2}]
+    found = lambda texts: decontaminate.search([[w.encode() for w in t] for t in texts], iter([decontaminate.TestBlock(*items, 10)]), 20)[2]
+    assert found(rows) == wanted == [found([r])[0] for r in rows]  # whatever other texts the slab has
+    # Against brute force: every span of a text.
+    items = list(range(30)), [" ".join(words(k, 1 + k, 60)).encode() for k in range(30)]
+    rows = [words(900 + k, 20 * k, 90) for k in range(12)] + [words(k, 1 + k, 60)[: k - 2] + words(k, 9, 60) for k in range(3, 30)]
+    for got, r in zip(found(rows), rows, strict=True):
+        near = set()
+        for i, t in zip(*items, strict=True):
+            own = t.decode().split()
+            span, needed = len(own) + 20, -(-3 * len(set(own)) // 4)
+            if any(len(set(own) & set(r[a : a + span])) >= needed for a in range(len(r))):
+                near.add(i)
+        assert got == near
+
+
 def test_empty_tables(make, spark):
     none = make([])
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
