@@ -63,14 +63,27 @@ class Notice:
             while b < len(line) and 0x80 <= line[b] < 0xC0:
                 b += 1
             cut = line[a:b].decode()
-            for m in self.fuzzy.finditer(cut):
-                start = a + len(cut[: m.start()].encode())
-                if m.group().strip() and (a + len(cut[: m.end()].encode())) > start:
+            for m in self._matches(cut):
+                start, end = a + len(cut[: m.start()].encode()), a + len(cut[: m.end()].encode())
+                if m.group().strip() and end > start:
                     # An end inside the slice only: the slice's own edge is not a word's edge unless the text ends there.
-                    found.append((start, a + len(cut[: m.end()].encode()), sum(m.fuzzy_counts)))
+                    found.append((start, end, sum(m.fuzzy_counts)))
         return [(s, e, k) for s, e, k in found if (s == 0 or line[s - 1 : s] == b" " or line[s : s + 1] == b" ") and (e == len(line) or line[e : e + 1] == b" " or line[e - 1 : e] == b" ")]
 
 
+    def _matches(self, cut: str) -> list[regex.Match]:
+        """All places that don't overlap a better one: BESTMATCH gives the best first, so both sides of it are searched."""
+        out, parts = [], [(0, len(cut))]
+        while parts:
+            a, b = parts.pop()
+            m = self.fuzzy.search(cut, a, b) if a < b else None
+            if m:
+                out.append(m)
+                if m.end() > m.start():
+                    parts += [(a, m.start()), (m.end(), b)]
+        return sorted(out, key=lambda m: m.start())
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of every document.
 

@@ -129,6 +129,12 @@ def test_licenses(make, corpus):
     assert got[202][0].labels == "apache" and got[203][0].labels == ""
 
 
+def test_licenses_next_to_better_ones(make):
+    text = "gnu generl public license then gnu general public license gnu genral public licens or mit licence mit license mt license"
+    spans = by_id(licenses.scan(make([(1, text)])))[1][0].spans
+    assert [(s.label, s.first_word, s.end_word, s.edits) for s in spans] == [("gpl", 0, 4, 1), ("gpl", 5, 9, 0), ("gpl", 9, 13, 2), ("mit", 14, 16, 1), ("mit", 16, 18, 0), ("mit", 18, 20, 1)]
+
+
 def test_quality(make, corpus):
     rows = [*corpus, (300, "a b c d e f g h\n" * 6), (301, "### $$$ " * 30), (302, "x " * 500)]
     got = sorted((tuple(r) for r in quality.rate(make(rows)).collect()), key=repr)
