@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, marked_in, spaced_words, stored
+from .common import bitmap, marked_in, stored
 
 MIN_WORDS, NEAR_WORDS = 3, 8
 
@@ -32,14 +32,15 @@ def _key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th (the text's hash), line, words, n of every line. A filter on n here would split each line twice."""
-    split = docs.where("doc_id is not null and text is not null").select("doc_id", _key().alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
-    return split.select("doc_id", "th", "line", spaced_words(F.lower("s")).alias("words")).withColumn("n", F.size("words"))
+def _split(text: Column) -> Column:
+    """The text's lines, lower-cased, with no white space but spaces."""
+    low = F.lower(text)
+    odd = F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c"))
+    return F.split(F.when(odd, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low), "\n", -1)
 
 
-def _hashes(words: Column) -> list[Column]:
-    return [F.xxhash64(words).alias("h"), F.hash(words).alias("g")]
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, " ", -1), "")
 
 
 def _halves() -> list[Column]:
@@ -52,13 +53,18 @@ def _halves() -> list[Column]:
     return [F.when(F.col("n") >= NEAR_WORDS, c).alias(f"k{i}") for i, c in enumerate(out)]
 
 
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, th (the text's hash), line, n, h and g (two hashes of the words), k0 to k3 of every line: the texts' only full split."""
+    split = docs.where("doc_id is not null and text is not null").select("doc_id", _key().alias("th"), F.posexplode(_split(F.col("text"))).alias("line", "s"))
+    words = split.select("doc_id", "th", "line", _words(F.col("s")).alias("words")).withColumn("n", F.size("words"))
+    return words.select("doc_id", "th", "line", "n", F.xxhash64("words").alias("h"), F.hash("words").alias("g"), *_halves())
+
+
 def removed_lines(docs: DataFrame) -> DataFrame:
     """doc_id, th, removed (line numbers from 0) of the documents that lose a line."""
-    lines = _lines(docs).select("doc_id", "th", "line", "n", *_hashes(F.col("words")), *_halves())
+    lines = stored(_lines(docs), "occurrences").where(F.col("n") >= MIN_WORDS)
     firsts = stored(
-        lines.groupBy("h", "g").agg(
-            F.min(F.struct("doc_id", "line", "th")).alias("first"), F.count("*").alias("times"), F.max("n").alias("n"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4))
-        ).where(F.col("n") >= MIN_WORDS),
+        lines.groupBy("h", "g").agg(F.min(F.struct("doc_id", "line", "th")).alias("first"), F.count("*").alias("times"), F.max("n").alias("n"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4))),
         "lines",
     )
     halves = firsts.where(F.col("n") >= NEAR_WORDS).select("h", "g", F.explode(F.array(*(f"k{i}" for i in range(4)))).alias("k"))
@@ -70,22 +76,36 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         "h", "g", F.least(F.struct("first.doc_id", "first.line"), F.coalesce("near", F.struct("first.doc_id", "first.line"))).alias("keep"), "times", "near"
     )
     decided = decided.where((F.col("times") > 1) | F.col("near").isNotNull()).select("h", "g", "keep")
-    occurrences = _lines(docs).select("doc_id", "th", "line", *_hashes(F.col("words")))
-    gone = occurrences.join(decided, ["h", "g"]).where(F.struct("doc_id", "line") > F.col("keep"))
+    gone = lines.select("doc_id", "th", "line", "h", "g").join(decided, ["h", "g"]).where(F.struct("doc_id", "line") > F.col("keep"))
     return gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("removed"))
 
 
+def _variants(words: Column, n: Column) -> Column:
+    """(v, at) of the words themselves (at -1) and without the word at each place.
+
+    A sequence's hash is the exclusive or of one hash for each (word, place). Without word 0 all others move up a place;
+    from one variant to the next, one word comes in and the next goes out: so a line's variants cost one pass.
+    """
+    here = F.transform(words, lambda w, i: F.xxhash64(w, i))
+    up = F.transform(words, lambda w, i: F.xxhash64(w, i - 1))
+    none = F.lit(0).cast("bigint")
+    total = F.aggregate(here, none, lambda x, y: x.bitwiseXOR(y))
+    without_first = F.aggregate(up, none, lambda x, y: x.bitwiseXOR(y)).bitwiseXOR(F.get(up, F.lit(0)))
+    steps = F.zip_with(F.slice(here, F.lit(1), n - 1), F.slice(up, F.lit(2), n - 1), lambda x, y: x.bitwiseXOR(y))
+    each = F.aggregate(steps, F.array(without_first), lambda found, x: F.array_append(found, F.element_at(found, -1).bitwiseXOR(x)))
+    deleted = F.transform(each, lambda x, i: F.struct(F.xxhash64(n - 1, x).alias("v"), i.alias("at")))
+    return F.concat(F.array(F.struct(F.xxhash64(n, total).alias("v"), F.lit(-1).alias("at"))), deleted)
+
+
 def _nearest(docs: DataFrame, places: DataFrame) -> DataFrame:
     """h, g, near: the earliest first occurrence of a line within one word, if it is earlier than the line's own."""
     wanted = places.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.th").alias("th")).agg(F.collect_set(F.struct("first.line", "h", "g")).alias("at"))
     bits = bitmap(places, F.col("first.th"))
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", _key().alias("th"), "text").where(marked_in(bits, F.col("th")))
-    own = texts.join(wanted, ["doc_id", "th"]).select("doc_id", F.split("text", "\n", -1).alias("lines"), F.explode("at").alias("at"))
-    own = own.select("at.h", "at.g", F.struct("doc_id", "at.line").alias("first"), spaced_words(F.lower(F.get("lines", F.col("at.line")))).alias("words"))
-    own = own.select("h", "g", "first", "words", F.size("words").alias("n"))
-    deleted = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(F.xxhash64(F.col("n") - 1, F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, F.greatest(F.col("n") - i - 1, F.lit(0))))).alias("v"), i.alias("at")))
-    whole = F.array(F.struct(F.xxhash64(F.col("n"), F.col("words")).alias("v"), F.lit(-1).alias("at")))
-    keys = stored(own.select("h", "g", "first", F.explode(F.concat(whole, deleted)).alias("e")).select("h", "g", "first", "e.v", "e.at"), "variants")
+    own = texts.join(wanted, ["doc_id", "th"]).select("doc_id", _split(F.col("text")).alias("lines"), F.explode("at").alias("at"))
+    own = own.select("at.h", "at.g", F.struct("doc_id", "at.line").alias("first"), _words(F.get("lines", F.col("at.line"))).alias("words"))
+    own = own.select("h", "g", "first", F.explode(_variants(F.col("words"), F.size("words"))).alias("e"))
+    keys = stored(own.select("h", "g", "first", "e.v", "e.at"), "variants")
     # Replaced: equal variants of the same place. Inserted or deleted: a whole line equal to a variant of a longer one.
     best = keys.groupBy("v", "at").agg(F.min("first").alias("m"), F.count("*").alias("c"))
     best = stored(best, "best")
