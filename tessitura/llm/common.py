@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,16 +22,19 @@ ALNUM = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
 )
 _SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) a temporary one of this session."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, on a local master only, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         context = spark.sparkContext
         found = context._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
         if not found:
+            if not context.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="tessitura-"))
             found = context._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
@@ -44,7 +48,17 @@ def stored(df: DataFrame, kind: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: cuts the lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._tessitura_path = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that stored() gave, once nothing that is still to be computed reads them."""
+    for table in tables:
+        session = table.sparkSession
+        path = session._jvm.org.apache.hadoop.fs.Path(table._tessitura_path)
+        path.getFileSystem(session._jsc.sc().hadoopConfiguration()).delete(path, True)
 
 
 def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -54,12 +68,20 @@ def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
+def small_batches(session: SparkSession) -> None:
+    """From now on a batch for a Python worker has BATCH_BYTES at most: ten thousand long texts would be a heap of memory."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if session.conf.get(name, "67108864b").rstrip("b").isdigit() and int(session.conf.get(name, "67108864b").rstrip("b")) > BATCH_BYTES:
+        session.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def documents(docs: DataFrame, *columns: str) -> DataFrame:
     """The named columns of the rows that have an id; other columns, whatever their names, play no part."""
+    small_batches(docs.sparkSession)
     return docs.select(*(columns or ("doc_id", "text"))).where(F.col("doc_id").isNotNull())
 
 
-def rows(batches: Iterable[pa.RecordBatch], key: str = "doc_id", text: str = "text", slab: int = 4_000_000) -> Iterator[tuple[list, list[bytes]]]:
+def rows(batches: Iterable[pa.RecordBatch], key: str = "doc_id", text: str = "text", slab: int = 2_000_000) -> Iterator[tuple[list, list[bytes]]]:
     """Keys and UTF-8 texts (null: empty) in slabs of about so many bytes; a longer text is a slab by itself."""
     keys: list = []
     texts: list[bytes] = []
@@ -84,7 +106,7 @@ _LETTER = np.random.default_rng(20260928).integers(1 << 62, 1 << 63, 256, np.uin
 _IN_WORD = np.array([c not in b" \t\n\x0b\x0c\r" for c in range(256)])
 _POWERS: dict[str, np.ndarray] = {}
 #: Bytes that are hashed at once; a longer text is cut between words.
-HASHED_BYTES = 1 << 21
+HASHED_BYTES = 1 << 19
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,6 +215,44 @@ def marked_in(bits: DataFrame, key: Column) -> Column:
     return F.getbit(F.element_at(bits.scalar(), (F.shiftright(at, 6) + 1).cast("int")), (at % 64).cast("int")) == 1
 
 
+#: Bits of a block of a packed bitmap.
+_BLOCK_BITS = 1 << 19
+
+
+def packed_bits(df: DataFrame, key: str, bits: int) -> np.ndarray:
+    """bits / 8 bytes at most, with a bit for each of df's 64-bit keys mod bits (a power of two), packed on the executors.
+
+    The driver gets compressed blocks of 64 KB, at most bits / 2^19 of them; the caller sees to a bound of bits.
+    """
+    block_bits = min(bits, _BLOCK_BITS)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            blocks = at // block_bits
+            for b in np.unique(blocks).tolist():
+                place = (at[blocks == b] % block_bits).astype(np.int64)
+                flags = held.setdefault(b, np.zeros(block_bits // 8, np.uint8))
+                np.bitwise_or.at(flags, place >> 3, (1 << (place & 7)).astype(np.uint8))
+        packer = zstandard.ZstdCompressor(1)
+        for b, flags in held.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "flags": pa.array([packer.compress(flags.tobytes())], pa.binary())})
+
+    places = df.select(F.pmod(F.col(key), F.lit(bits)).alias("at"))
+    packed = places.repartition((F.col("at") / block_bits).cast("int")).mapInArrow(pack, "block int, flags binary")
+    out = np.zeros(bits // 8, np.uint8)
+    for row in packed.collect():
+        out[row["block"] * block_bits // 8 : (row["block"] + 1) * block_bits // 8] = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["flags"]), np.uint8)
+    return out
+
+
+def in_bits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Whether each unsigned 64-bit key may be one of the packed bitmap's."""
+    at = keys % np.uint64(len(bits) * 8)
+    return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs, with all its columns, without the rows whose doc_id is gone's (one column) or null.
 
@@ -222,7 +282,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round, large stars then small stars: every node hands its neighbours to the smallest one it knows, which halves
     paths; the rounds stop when no edge changes. All rounds are joins and aggregates on edge tables, each round is
-    written to the shared folder, and a node's neighbours are never gathered into one row. No links: no rows.
+    written to the shared folder, and a node's neighbours are never gathered into one row. No links: no rows. Repeated
+    links and links of a node with itself change nothing. The result is a table of stored().
     """
     edges = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "edges")
     before: tuple | None = None
@@ -234,11 +295,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        edges = stored(small.where("u <> v").distinct(), "edges")
+        last, edges = edges, stored(small.where("u <> v").distinct(), "edges")
+        drop(last)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break
         before = tuple(state)
-    return edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(
+    found = edges.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(
         edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     )
+    table = stored(found, "components")
+    drop(edges)
+    return table

@@ -4,13 +4,14 @@
 2. Anchors. Each window of 13 words holds nine runs of five words; the one with the least hash is its anchor, wherever
    the window stands. Windows whose anchor no other document has are out. Windows next to one another mostly share their
    anchor; together they are its region, a span of words, and each window lies in one region.
-3. Shards. Regions are dealt out by anchor, so a window's occurrences meet. A shard is a compressed FM-index of some
-   anchors' different regions: the Burrows-Wheeler transform of their words in a wavelet matrix of packed bits with block
-   counts. The shard's regions are then streamed through it by backward search, which gives each position's matching
-   statistic up to the threshold; positions that reach it are reported with the least doc_id of their interval.
+3. Shards. Regions are dealt out by anchor, so a window's occurrences meet; a hot anchor's are dealt out window by
+   window. A shard is a compressed FM-index of some anchors' different regions (of regions, not of whole documents): the
+   Burrows-Wheeler transform of their words in a wavelet matrix of packed bits with block counts. The shard's own regions
+   are then streamed through it by backward search, which gives each position's matching statistic up to the threshold;
+   positions that reach it are reported with the least doc_id of their interval.
 4. Those reports are joined to each document's regions, and give the spans of words to remove.
 
-Words are compared by 64-bit hashes, thirteen at a time. Only a bitmap of fixed size is broadcast.
+Words are compared by 64-bit hashes, thirteen at a time. What is broadcast is bitmaps of bounded size.
 
 Defined results: a null text has no words; fewer words than a window: nothing is removed; windows are judged on the
 input; of rows with equal doc_id none is earlier, and what goes from one text goes from the same places of the other; rows with a null doc_id are left out; an empty table gives no rows.
@@ -27,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, documents, gram_hashes, marked_in, representatives, rows, stored, word_hashes
+from .common import bitmap, documents, gram_hashes, in_bits, marked_in, packed_bits, representatives, rows, stored, word_hashes
 
 WINDOW, GRAM = 13, 5
 SHARD_WORDS = 300_000
-#: Shared anchors are marked in 2^26 bits (8 MB) whatever the input; a full bitmap only means that more regions are dealt out.
-ANCHOR_BITS = 1 << 26
+#: Anchors in more places than this deal out single windows.
+HOT = 4096
+#: Shared anchors are sent to the tasks as bitmaps of so many bits (32 MB) at most; beyond that they are joined.
+MOST_BITS = 1 << 28
 
 
 class WaveletMatrix:
@@ -131,32 +134,71 @@ def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _shared_anchors(docs: DataFrame) -> DataFrame:
-    """anchor of those that two documents hold or more."""
+    """anchor, hot of those that two documents hold or more; hot: in more than HOT places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in rows(batches):
-            found = [np.unique(anchors(h)[0]) for h in word_hashes(texts)]
-            yield pa.RecordBatch.from_pydict({"anchor": np.concatenate(found).view(np.int64)})
+            found = [np.unique(anchors(h)[0], return_counts=True) for h in word_hashes(texts)]
+            yield pa.RecordBatch.from_pydict({"anchor": np.concatenate([a for a, _ in found]).view(np.int64), "n": np.concatenate([n for _, n in found]).astype(np.int32)})
 
-    return docs.mapInArrow(run, "anchor long").groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+    counted = docs.mapInArrow(run, "anchor long, n int").groupBy("anchor").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    return counted.where("c > 1").select("anchor", (F.col("n") > HOT).alias("hot"))
 
 
-def _bits(df: DataFrame) -> np.ndarray:
-    """ANCHOR_BITS / 8 bytes at most, whatever the input: a bit for each anchor mod ANCHOR_BITS."""
-    at = F.pmod(F.col("anchor"), F.lit(ANCHOR_BITS))
-    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("i") % 64).cast("int"))
-    filled = df.select(at.alias("i")).groupBy(F.shiftright("i", 6).alias("w")).agg(F.bit_or(bit).alias("m")).toPandas()
-    words = np.zeros(ANCHOR_BITS // 64, np.int64)
-    words[filled["w"].to_numpy(np.int64)] = filled["m"].to_numpy(np.int64)
-    return words.view(np.uint64)
+def _regions(h: np.ndarray, shared, hot) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(key, first window, words) of the regions of a text's word hashes whose anchor may be shared.
 
-
-def _marked_regions(h: np.ndarray, bits: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(anchor, first window, windows, words) of the regions, of a text's word hashes, whose anchor may be shared."""
+    shared and hot tell of an array of anchors which are. A hot anchor's region is cut into its windows, each with a key
+    of its own: so what meets in one place is at most one window's occurrences, however many contexts the anchor has.
+    """
     found, first, count = anchors(h)
-    at = found % np.uint64(ANCHOR_BITS)
-    for i in np.flatnonzero((bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).tolist():
-        yield int(found.view(np.int64)[i]), int(first[i]), int(count[i]), h[first[i] : first[i] + count[i] + WINDOW - 1]
+    kept = np.flatnonzero(shared(found))
+    found, first, count = found[kept], first[kept], count[kept]
+    for anchor, at, n, is_hot in zip(found.view(np.int64).tolist(), first.tolist(), count.tolist(), hot(found).tolist(), strict=True):
+        if not is_hot:
+            yield anchor, at, h[at : at + n + WINDOW - 1]
+            continue
+        for i in range(at, at + n):
+            words = h[i : i + WINDOW]
+            yield region_id(words), i, words
+
+
+def _documents_regions(docs: DataFrame, known: DataFrame, make, schema: str) -> DataFrame:
+    """make(list of (doc_id, regions)) as a batch, over all documents in slabs.
+
+    The shared anchors are sent out as two bitmaps while these are small: 32 bits an anchor, MOST_BITS at most. A larger
+    set of anchors is joined to the documents that hold them, partition by partition.
+    """
+    count, n_hot = known.agg(F.count("*"), F.count_if("hot")).first()
+    small = 32 * count <= MOST_BITS
+    if small:
+        size = 1 << max(20, (32 * count).bit_length())
+        sent = docs.sparkSession.sparkContext.broadcast((packed_bits(known, "anchor", size), packed_bits(known.where("hot"), "anchor", size if n_hot else 1 << 20)))
+    else:
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for keys, texts in rows(batches):
+                found = [np.unique(anchors(h)[0]) for h in word_hashes(texts)]
+                ids = np.repeat(np.array(keys, np.int64), [len(f) for f in found])
+                yield pa.RecordBatch.from_pydict({"doc_id": ids, "anchor": np.concatenate(found).view(np.int64)})
+
+        held = docs.select("doc_id", "text").mapInArrow(own, "doc_id long, anchor long").join(known, "anchor")
+        lists = held.groupBy("doc_id").agg(F.collect_list("anchor").alias("shared"), F.collect_list(F.when(F.col("hot"), F.col("anchor"))).alias("hot"))
+        docs = docs.select("doc_id", "text").join(lists, "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if small:
+            shared, hot = (lambda a, b=b: in_bits(b, a) for b in sent.value)
+            for keys, texts in rows(batches, slab=2_000_000):
+                yield make([(k, _regions(h, shared, hot)) for k, h in zip(keys, word_hashes(texts), strict=True)])
+            return
+        for batch in batches:
+            for i in range(batch.num_rows):
+                key, text, *lists = (batch.column(c)[i].as_py() for c in range(4))
+                shared, hot = (lambda a, known=np.array(x, np.int64).view(np.uint64): np.isin(a, known) for x in lists)
+                yield make([(key, _regions(word_hashes([(text or "").encode()])[0], shared, hot))])
+
+    return docs.mapInArrow(run, schema)
 
 
 def region_id(words: np.ndarray) -> int:
@@ -187,24 +229,22 @@ def shard_reports(regions: list[np.ndarray], docs: list[int]) -> list[np.ndarray
 
 def removed_windows(docs: DataFrame) -> DataFrame:
     """doc_id, starts: first words of the windows that a document with a smaller doc_id holds; docs has no equal texts."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bits(_shared_anchors(docs)))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in rows(batches, slab=2_000_000):
-            held: dict[tuple[int, bytes], list[int]] = {}
-            for key, h in zip(keys, word_hashes(texts), strict=True):
-                for anchor, _, _, words in _marked_regions(h, bits.value):
-                    got = held.setdefault((anchor, words.tobytes()), [key, key])
-                    got[0], got[1] = min(got[0], key), max(got[1], key)
-            yield pa.RecordBatch.from_pydict({
-                "anchor": pa.array([a for a, _ in held], pa.int64()), "words": pa.array([w for _, w in held], pa.binary()),
-                "least": pa.array([v[0] for v in held.values()], pa.int64()), "most": pa.array([v[1] for v in held.values()], pa.int64()),
-            })
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in rows(batches, slab=2_000_000):
-            found = [(anchor, region_id(words), key, first) for key, h in zip(keys, word_hashes(texts), strict=True) for anchor, first, _, words in _marked_regions(h, bits.value)]
-            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(4)], ["anchor", "region", "doc_id", "first"])
+    known = stored(_shared_anchors(docs), "anchors")
+
+    def cut(found: list) -> pa.RecordBatch:
+        held: dict[tuple[int, bytes], list[int]] = {}
+        for key, regions in found:
+            for anchor, _, words in regions:
+                got = held.setdefault((anchor, words.tobytes()), [key, key])
+                got[0], got[1] = min(got[0], key), max(got[1], key)
+        return pa.RecordBatch.from_pydict({
+            "anchor": pa.array([a for a, _ in held], pa.int64()), "words": pa.array([w for _, w in held], pa.binary()),
+            "least": pa.array([v[0] for v in held.values()], pa.int64()), "most": pa.array([v[1] for v in held.values()], pa.int64()),
+        })
+
+    def places(found: list) -> pa.RecordBatch:
+        flat = [(anchor, region_id(words), key, first) for key, regions in found for anchor, first, words in regions]
+        return pa.RecordBatch.from_arrays([pa.array([f[i] for f in flat], pa.int64()) for i in range(4)], ["anchor", "region", "doc_id", "first"])
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[int]] = {}  # of one anchor
@@ -248,9 +288,9 @@ def removed_windows(docs: DataFrame) -> DataFrame:
         close()
         yield from flush()
 
-    regions = docs.mapInArrow(cut, "anchor long, words binary, least long, most long")
+    regions = _documents_regions(docs, known, cut, "anchor long, words binary, least long, most long")
     reports = regions.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(report, "anchor long, region long, least array<bigint>")
-    found = docs.mapInArrow(places, "anchor long, region long, doc_id long, first long").join(stored(reports, "reports"), ["anchor", "region"])
+    found = _documents_regions(docs, known, places, "anchor long, region long, doc_id long, first long").join(stored(reports, "reports"), ["anchor", "region"])
     start = F.filter(F.transform("least", lambda d, i: F.when(d < F.col("doc_id"), F.col("first") + i)), lambda x: x.isNotNull())
     return found.select("doc_id", start.alias("s")).where(F.size("s") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("starts"))
 
@@ -280,28 +320,26 @@ def _applied(docs: DataFrame, column: str, of) -> DataFrame:
     removed = stored(removed_windows(alone), "windows")
     name = column.split()[0]
     hashed = own.withColumn("m", F.md5(F.coalesce("text", F.lit(""))))
-    changed = marked_in(bitmap(removed, F.xxhash64("doc_id")), F.xxhash64("doc_id"))
+    # Whatever is not the first of its text goes as a whole, if it has a window. Its ids are found without the texts.
+    maybe = hashed.where(marked_in(bitmap(several, F.xxhash64("m")), F.xxhash64("m"))).select("doc_id", "m")
+    copies = stored(maybe.join(several, "m").where("doc_id > node").select("doc_id", "m", F.lit(True).alias("copy")).distinct(), "copies")
+    touched = marked_in(bitmap(removed.select("doc_id").union(copies.select("doc_id")), F.xxhash64("doc_id")), F.xxhash64("doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, kept = [], [], []
-            starts = batch.column(3)
+            starts, copied = batch.column(2), batch.column(3).to_pylist()
             for i, t in enumerate(batch.column(1).cast(pa.large_binary())):
                 words = (t.as_py() or b"").split()
                 own_starts = starts[i].as_py() or []
-                left = kept_words(words, own_starts) if own_starts else words
+                left = [] if copied[i] and len(words) >= WINDOW else kept_words(words, own_starts) if own_starts else words
                 sizes.append(len(words))
                 gone.append(len(words) - len(left))
                 kept.append(b" ".join(left))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), of(kept)], ["doc_id", "m", "n_words", "n_removed", name])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), of(kept)], ["doc_id", "n_words", "n_removed", name])
 
-    schema = f"doc_id long, m string, n_words long, n_removed long, {column}"
+    schema = f"doc_id long, n_words long, n_removed long, {column}"
     none = F.lit(None).cast("array<bigint>").alias("starts")
-    plain = hashed.where(~changed).select("doc_id", "text", "m", none).mapInArrow(run, schema)
-    joined = hashed.where(changed).join(removed, "doc_id", "left").select("doc_id", "text", "m", "starts").mapInArrow(run, schema)
-    # Whatever is not the first of its text goes as a whole, if it has a window.
-    copy = F.col("node").isNotNull() & (F.col("doc_id") > F.col("node")) & (F.col("n_words") >= WINDOW)
-    empty = F.sha2(F.lit(""), 256) if name == "kept_sha256" else F.lit("")
-    return plain.union(joined).join(several, "m", "left").select(
-        "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.col("n_removed")).alias("n_removed"), F.when(copy, empty).otherwise(F.col(name)).alias(name)
-    )
+    plain = hashed.where(~touched).select("doc_id", "text", none, F.lit(False).alias("copy")).mapInArrow(run, schema)
+    joined = hashed.where(touched).join(removed, "doc_id", "left").join(copies, ["doc_id", "m"], "left").select("doc_id", "text", "starts", "copy").mapInArrow(run, schema)
+    return plain.union(joined)
