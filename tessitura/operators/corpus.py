@@ -115,3 +115,8 @@ def choose_album(songs: DataFrame, tracklist: DataFrame) -> DataFrame:
     """song, album: of the albums that have its title key, studio first, then the earliest year, unknown years last."""
     rank = F.struct(kind_rank(F.col("kind")), F.coalesce("year", F.lit(9999)), "album")
     return songs.join(tracklist, "key").groupBy("key", "title").agg(F.min_by("album", rank).alias("album"))
+
+
+def dated(rows: DataFrame, authors: list[str]) -> DataFrame:
+    """The rows of these authors that have a year; 0 is no year."""
+    return rows.where(F.col("author").isin(*authors) & (F.coalesce("year", F.lit(0)) != 0))

@@ -139,3 +139,16 @@ def period_keyness(tokens: DataFrame, period: str, min_df: int = 3, top: int = 4
     kept = rows.select("author", period, "lemma", z.alias("z"), "f", "df").where(F.col("df") >= min_df)
     order = Window.partitionBy("author", period).orderBy(F.desc(F.round("z", 9)), "lemma")
     return kept.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def content_tokens(tokens: DataFrame, function: DataFrame) -> DataFrame:
+    """author, doc_id, pos, lemma of the tokens that are no function words, with places counted anew in each text."""
+    kept = tokens.select("author", "doc_id", "pos", "lemma").join(function.select("lemma"), "lemma", "left_anti")
+    return kept.withColumn("pos", F.row_number().over(Window.partitionBy("author", "doc_id").orderBy("pos")) - 1)
+
+
+def keyness_chart(counted: DataFrame, function: DataFrame, k: int, min_df: int = 3) -> DataFrame:
+    """author, lemma, z, df, rank of each author's k content lemmas with the highest log-odds z, in min_df texts or more."""
+    kept = keyness(counted).where(F.col("df") >= min_df).join(function.select("lemma"), "lemma", "left_anti")
+    order = Window.partitionBy("author").orderBy(F.desc(F.round("z", 9)), "lemma")
+    return kept.select("author", "lemma", "z", "df", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
