@@ -1,16 +1,18 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the mean of the vectors of its character 3- to 5-grams (with word edges) and of its whole form; all are hashed
-into one table, so an unseen misspelling shares most of its vectors with the word it comes from. A segment of SEGMENT
-words is the mean of its words; a linear softmax over that mean gives the segment's probability, and a text scores as
-its highest segment, so an insult in a long text isn't averaged away. Table, softmax and bias are trained together: first
-on the whole text's mean, then on each text's highest segments (for clean texts also on segments drawn at random).
+into one table, so an unseen misspelling shares most of its vectors with the word it comes from. A segment is SEGMENT
+words in a row, beginning at any word, and the mean of them; a linear softmax over that mean gives the segment's
+probability, and a text scores as its highest segment, so an insult in a long text isn't averaged away. Table, softmax and
+bias are trained together: first on the whole text's mean, then on each text's highest segment (for clean texts also on
+high ones and on some drawn at random).
 
-The training sample is bounded: at most TRAIN_TOXIC and TRAIN_CLEAN labelled texts of at most TRAIN_BYTES bytes, in the
-order of a hash of doc_id. Scoring covers every whole text of any length.
+The training sample is bounded: at most TRAIN_TOXIC and TRAIN_CLEAN labelled texts (see drawn). It is trained on in one
+task. Scoring covers every whole text of any length.
 
 Defined results: null or empty text: the score of an empty mean (the bias alone); rows with a null doc_id are left out;
-repeated rows each give a row; without labels of both kinds every score is the share of toxic labels (0 without any).
+repeated rows each give a row; without labels of both kinds every score is the share of toxic labels, nearly (0 without
+any).
 """
 
 from __future__ import annotations
@@ -19,15 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, documents, rows
+from .common import ALNUM, documents, rows, stored
 
-TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES = 600, 2500, 6_000
+TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES, TRAIN_TOTAL = 600, 2500, 6_000, 12_000_000
 SEGMENT, DIM, BUCKETS, GRAMS = 2, 8, 1 << 18, (3, 4, 5)
 WARM, EPOCHS, RATE, FLOOR, TOXIC_SHARE, SEED = 6, 40, 0.1, 0.005, 0.3, 20260928
+#: Of a clean text's segments the highest, those whose logit is over HARD, and a share of DRAWN are trained on.
+HARD, DRAWN = -1.0, 0.03
 THRESHOLD = 0.3
+#: Words whose score a worker remembers.
+KNOWN_WORDS = 300_000
 
 
 def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +78,7 @@ class Model:
             sums = np.add.reduceat(self.gains[buckets], starts)
             counts = np.diff(np.append(starts, len(buckets)))
             fresh = dict(zip(new, (sums / counts).tolist(), strict=True))
-            if len(known) + len(fresh) > 1_000_000:
+            if len(known) + len(fresh) > KNOWN_WORDS:
                 known.clear()
                 fresh |= {w: g for w, g in zip(words, self.word_gains(words).tolist(), strict=True)} if len(new) < len(set(words)) else {}
             known.update(fresh)
@@ -82,9 +88,8 @@ class Model:
         if not words:
             return float(1 / (1 + np.exp(-self.bias)))
         g = self.word_gains(words)
-        starts = np.arange(0, len(g), SEGMENT)
-        means = np.add.reduceat(g, starts) / np.minimum(SEGMENT, len(g) - starts)
-        return float(1 / (1 + np.exp(-(means.max() + self.bias))))
+        best = np.lib.stride_tricks.sliding_window_view(g, min(SEGMENT, len(g))).mean(axis=1).max()
+        return float(1 / (1 + np.exp(-(best + self.bias))))
 
 
 def train(texts: list[bytes], labels: list[int]) -> Model:
@@ -100,13 +105,13 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     lengths = np.array([len(x) for x in ids])
     flat = np.concatenate(ids)
     doc = np.repeat(np.arange(len(ids)), lengths)
-    within = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    n_segments = -(-lengths // SEGMENT)
+    # A segment begins at every word that has enough words behind it; a shorter text is one segment.
+    n_segments = np.where(lengths > 0, np.maximum(1, lengths - SEGMENT + 1), 0)
     first = np.cumsum(n_segments) - n_segments
-    segment = first[doc] + within // SEGMENT
     segment_doc = np.repeat(np.arange(len(ids)), n_segments)
-    sizes = np.bincount(segment, minlength=len(segment_doc))
-    segment_start = np.cumsum(sizes) - sizes
+    sizes = np.minimum(SEGMENT, lengths)[segment_doc]
+    segment_start = (np.cumsum(lengths) - lengths)[segment_doc] + np.arange(len(segment_doc)) - first[segment_doc]
+    filled = np.flatnonzero(n_segments)
     rng = np.random.default_rng(SEED)
     table = rng.normal(0, 0.1, (DIM, BUCKETS)).astype(np.float32)
     soft = rng.normal(0, 0.1, (DIM, 2))
@@ -121,11 +126,13 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
             used = flat
         else:
             gains = (soft[:, 1] - soft[:, 0]) @ vectors
-            means = np.bincount(segment, gains[flat], len(segment_doc)) / sizes
-            order = np.lexsort((-means, segment_doc))
-            rank = np.arange(len(order)) - first[segment_doc[order]]
-            clean = y[segment_doc[order]] == 0
-            chosen = order[(rank == 0) | clean & ((rank < 3) | (rng.random(len(order)) < 0.05))]
+            sums = np.concatenate([[0.0], np.cumsum(gains[flat])])
+            means = (sums[segment_start + sizes] - sums[segment_start]) / sizes
+            highest = np.full(len(ids), -np.inf)
+            highest[filled] = np.maximum.reduceat(means, first[filled])
+            clean = y[segment_doc] == 0
+            near = means + (bias[1] - bias[0]) > HARD
+            chosen = np.flatnonzero((means == highest[segment_doc]) | clean & (near | (rng.random(len(means)) < DRAWN)))
             size, target = sizes[chosen], y[segment_doc[chosen]]
             group = np.repeat(np.arange(len(chosen)), size)
             used = flat[np.repeat(segment_start[chosen], size) + np.arange(len(group)) - np.repeat(np.cumsum(size) - size, size)]
@@ -151,16 +158,40 @@ def held_out(doc_id):
     return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4)) == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Trains on the bounded sample of labelled rows that are not held out. Repeated labels of an id: the highest."""
+def drawn(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic of the training sample. Repeated labels of an id: the highest.
+
+    Texts of at most TRAIN_BYTES come first, longer ones only where these are too few; within a kind, texts are taken in
+    the order of a hash of doc_id until their lengths reach TRAIN_TOTAL (the first one whatever its length).
+    """
     known = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out(F.col("doc_id")))
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    # Ids first: only the drawn rows' texts are joined and sent here.
-    drawn = known.where("toxic = 1").orderBy(*order).limit(TRAIN_TOXIC).union(known.where("toxic = 0").orderBy(*order).limit(TRAIN_CLEAN))
-    short = documents(docs).where((F.octet_length("text") > 0) & (F.octet_length("text") <= TRAIN_BYTES))
-    got = short.join(F.broadcast(drawn), "doc_id").orderBy("doc_id", "text").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN)).toPandas()
-    return train([t.encode() for t in got["text"]], got["toxic"].astype(int).tolist())
+    sizes = documents(docs).select("doc_id", F.octet_length("text").cast("bigint").alias("bytes")).where("bytes > 0").groupBy("doc_id").agg(F.max("bytes").alias("bytes"))
+    order = [(F.col("bytes") > TRAIN_BYTES).asc(), F.xxhash64("doc_id").asc(), F.col("doc_id").asc()]
+    both = stored(known.join(sizes, "doc_id"), "labelled")
+    first = [both.where(F.col("toxic") == kind).orderBy(*order).limit(n) for kind, n in ((1, TRAIN_TOXIC), (0, TRAIN_CLEAN))]
+    before = F.sum("bytes").over(Window.partitionBy("toxic").orderBy(*order)) - F.col("bytes")
+    # At most TRAIN_TOXIC + TRAIN_CLEAN rows from here on.
+    return first[0].union(first[1]).withColumn("before", before).where((F.col("before") == 0) | (F.col("before") + F.col("bytes") <= TRAIN_TOTAL)).select("doc_id", "toxic")
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Trains on the bounded sample of labelled rows that are not held out, in one task; the driver gets the table alone."""
+    sample = stored(drawn(docs, labels), "drawn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, kinds = [], []
+        for batch in batches:
+            texts += [t.encode() for t in batch.column(0).to_pylist()]
+            kinds += batch.column(1).to_pylist()
+        model = train(texts, kinds)
+        yield pa.RecordBatch.from_pydict({"gains": pa.array([model.gains.astype(np.float32).tobytes()], pa.binary()), "bias": [model.bias]})
+
+    texts = documents(docs).where(F.octet_length("text") > 0).join(F.broadcast(sample), "doc_id")
+    # One task, of bounded size: some thousand texts of TRAIN_TOTAL bytes a kind in all (twice where ids repeat).
+    own = texts.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).orderBy("doc_id", "text").limit(2 * (TRAIN_TOXIC + TRAIN_CLEAN))
+    got = own.select("text", "toxic").coalesce(1).mapInArrow(run, "gains binary, bias double").collect()
+    return Model(np.frombuffer(got[0]["gains"], np.float32).astype(np.float64), got[0]["bias"]) if got else train([], [])
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import math
 import zlib
 
 import pytest
@@ -82,3 +83,47 @@ def test_toxicity_without_labels(make, spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.predicted for r in toxicity.score(make([(1, "a"), (2, None)]), none).collect()} == {0}
     assert toxicity.score(make([]), none).count() == 0
+
+
+def gain_by_hand(model, word):
+    """The mean of a word's gram vectors in plain Python: grams of 3 to 5 bytes with the word's edges, and the whole word."""
+    flat, mask = b"<" + word + b">", (1 << 64) - 1
+    values = []
+    for k in (3, 4, 5):
+        for i in range(len(flat) - k + 1):
+            h = flat[i] + 1
+            for c in flat[i + 1 : i + k]:
+                h = (h * 0x100000001B3 + c) & mask
+            values.append((h + k) & mask)
+    values.append(sum(c * pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i, c in enumerate(flat)) & mask)
+    places = [((((v ^ (v >> 29)) * 0xBF58476D1CE4E5B9) & mask) >> 40) & (toxicity.BUCKETS - 1) for v in values]
+    return sum(model.gains[p] for p in places) / len(places)
+
+
+def test_scores_by_hand():
+    rows, labels = toxic_rows(60, 77)
+    model = toxicity.train([t.encode() for _, t in rows], [x for *_, x in labels])
+    for text in (b"", b"a", b"one two", "drei vier fünf sechs".encode(), rows[0][1].encode(), rows[1][1].encode()):
+        g = [gain_by_hand(model, w) for w in text.split()]
+        best = max((sum(g[i : i + 2]) / 2 for i in range(len(g) - 1)), default=g[0] if g else 0.0)
+        assert model.score(text.split()) == pytest.approx(1 / (1 + math.exp(-best - model.bias)), abs=1e-9)
+
+
+def test_held_out_labels_are_not_seen(make):
+    rows, labels = toxic_rows(60, 41)
+    flipped = [(i, q, 1 - t if zlib.crc32(str(i).encode()) % 4 == 2 else t) for i, q, t in labels]
+    schema = "doc_id long, quality int, toxic int"
+    docs = make(rows)
+    scores = [sorted(map(tuple, toxicity.score(docs, docs.sparkSession.createDataFrame(x, schema)).collect())) for x in (labels, flipped)]
+    assert flipped != labels and scores[0] == scores[1]
+
+
+def test_long_texts_train_too(make, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 10)
+    rows, labels = toxic_rows(60, 41)
+    docs = make([*rows, rows[0], (None, "x")])
+    spark = docs.sparkSession
+    got = toxicity.score(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == 61 and len({r.score for r in got}) > 10
+    monkeypatch.setattr(toxicity, "TRAIN_TOTAL", 0)  # one text of either kind stays
+    assert toxicity.drawn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 2
