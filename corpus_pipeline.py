@@ -54,7 +54,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Models, near-duplicate groups and tokenizers are beyond SQL; tests/llm holds the rows against a brute-force version.
+#: Models, near-duplicate groups and tokenizers are beyond SQL; tests/llm holds the stages against plain versions on small tables.
 ORACLE_SQL = None
 
 
