@@ -5,6 +5,8 @@ Rows whose id column is null are dropped by every operator that returns rows by
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
@@ -47,7 +49,7 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
 def stored(df: DataFrame, kind: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it: cuts the lineage, survives lost executors."""
     path = fresh_path(df.sparkSession, kind)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     table._tessitura_path = path
     return table
@@ -81,8 +83,15 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(*(columns or ("doc_id", "text"))).where(F.col("doc_id").isNotNull())
 
 
+def _give_back() -> None:
+    """Memory that an earlier task of this Python worker has freed goes back to the system, where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def rows(batches: Iterable[pa.RecordBatch], key: str = "doc_id", text: str = "text", slab: int = 2_000_000) -> Iterator[tuple[list, list[bytes]]]:
     """Keys and UTF-8 texts (null: empty) in slabs of about so many bytes; a longer text is a slab by itself."""
+    _give_back()
     keys: list = []
     texts: list[bytes] = []
     held = 0

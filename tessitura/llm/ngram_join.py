@@ -6,14 +6,19 @@ Frequent are tokens whose cell, in a count of all documents' prefixes over CELLS
 table has a fixed size, and any assignment of classes gives right results.
 
 1. Equal texts are one representative, the smallest doc_id.
-2. Signatures. A prefix is long enough that whatever two linked sets may differ in, a rare token or two frequent tokens of
-   one sub-class are left that both prefixes hold. Rare tokens are indexed one by one, frequent ones as pairs of their
-   sub-class; sub-classes keep the number of pairs in proportion to the prefix. They depend on the set's size class, so a
-   set emits pairs for its own class and the one below, one of which any partner shares.
-3. Candidates: members of a signature's bucket are paired with the bucket's centre (most frequent tokens, as an original
-   among its altered copies has) and their nearest three, never all with all. Pairs are verified on the words.
-4. Components of the verified links. A bucket whose members are in one component needs no more pairs. In the others the
-   members of different components are paired with 16 times as many centres, until every such pair is verified or joined.
+2. Signatures. Tokens are rare, frequent or very frequent; these classes are indexed as single tokens, pairs and triples.
+   A prefix is long enough that whatever two linked sets may differ in, both prefixes hold a rare token, or as many
+   tokens of one sub-class of a frequent class as its combinations have. Sub-classes keep the number of combinations in
+   proportion to the prefix. They depend on the set's size class, so a set emits combinations for its own class and the
+   one below, one of which any partner shares.
+3. Candidates. First, members of a signature's bucket are paired with the bucket's centre (most frequent tokens, as an
+   original among its altered copies has) and single tokens' also with their nearest three. A set has a bitmap of the
+   parities of its tokens, larger for a larger set; two are compared in the smaller one's size, to which the larger one
+   folds. Differing bits are no more than differing tokens, so a pair whose bitmaps differ too much is no link and goes
+   before any text is looked at. The others are verified on the hashes of all their shingles.
+4. Components of the verified links. A bucket whose members are in one component needs no more. The others' bitmaps are
+   compared with one another, block by block in the task that streams the bucket, and only pairs of different components
+   that may link become rows: at first each member's nearest one, then, after these are verified and joined, all.
 
 Defined results: a text without words (null too) has no shingle and stays alone; fewer words than a shingle: the whole
 sequence is the one element; rows with a null doc_id are left out; repeated rows each give a row, equal doc_ids with
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +37,17 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bitmap, components, documents, gram_hashes, marked_in, mixed, representatives, rows, stored, word_hashes
+from .common import bitmap, components, documents, drop, gram_hashes, marked_in, mixed, representatives, rows, stored, word_hashes
 
 SHINGLE, PERCENT = 5, 80
 CELLS, BLOCK = 1 << 22, 1 << 16
-NEAREST, FIRST_CENTRES, MORE = 3, 4, 16
-SALTS = 16
+#: A cell is very frequent when its count is so many times the bound for a frequent one.
+VERY = 8
+NEAREST, SALTS = 3, 16
+#: Bits of a set's bitmap: the power of two from 2n on, within these. A linked pair's sizes are one step apart at most.
+BITMAP, LARGEST_BITMAP = 1024, 16384
+#: Members of a bucket that are compared in one place; a larger bucket is cut into so large blocks, each pair of which meets once.
+MEMBERS = 8192
 
 _BOUNDS = [1]
 while _BOUNDS[-1] < 1 << 40:
@@ -58,36 +69,68 @@ def cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(20)).astype(np.int64) & (CELLS - 1)
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of a sorted set: single rare tokens, and pairs of frequent tokens."""
+def _combinations(tokens: np.ndarray, group: np.ndarray, k: int) -> np.ndarray:
+    """A hash of every k tokens of one group; groups lie together."""
+    last, found = np.arange(len(tokens)), tokens
+    for _ in range(k - 1):
+        ends, hashes = [], []
+        for apart in range(1, len(tokens)):
+            more = last + apart
+            at = np.flatnonzero(more < len(tokens))
+            at = at[group[more[at]] == group[last[at]]]
+            if not len(at):
+                break
+            ends.append(more[at])
+            hashes.append(mixed(found[at] * np.uint64(0x9E3779B97F4A7C15) + tokens[more[at]]))
+        if not ends:
+            return np.empty(0, np.uint64)
+        last, found = np.concatenate(ends), np.concatenate(hashes)
+    return found
+
+
+def signatures(tokens: np.ndarray, kinds: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures of a sorted set: single rare tokens (kind 1), and combinations of kind 2's pairs and kind 3's triples.
+
+    In a sub-class of which k tokens are combined, k - 1 tokens don't count towards the prefix. Linked sets differ in less
+    than the prefix counts, so one sub-class has k tokens that both prefixes hold. A size class whose sets are too small
+    for that combines less.
+    """
     n, need = len(tokens), prefix_length(len(tokens), percent)
-    rare, often = tokens[~frequent], tokens[frequent]
-    if len(rare) >= need or not len(often):
+    rare = tokens[kinds == 1]
+    if len(rare) >= need or len(rare) == n:
         return rare[:need], np.empty(0, np.uint64)
     if n == 1:  # only an equal set links with it, and that is one token too
         return tokens, np.empty(0, np.uint64)
+    often = np.concatenate([tokens[kinds == k] for k in (2, 3)])
+    very = np.arange(len(often)) >= int((kinds == 2).sum())
     level = int(np.searchsorted(_BOUNDS_ARRAY, n, "right")) - 1
     need -= len(rare)
     made = []
     for at in {level, max(0, level - 1)}:
-        classes = mixed(often ^ np.uint64(0x5BD1E995)) % np.uint64(max(1, _BOUNDS[at] // 10))
-        first = np.zeros(len(often), np.int64)
-        first[np.unique(classes, return_index=True)[1]] = 1
-        # A token counts towards the prefix when its sub-class has one before it.
-        stop = int(np.searchsorted(np.cumsum(1 - first), need)) + 1
-        held, group = often[:stop], classes[:stop]
+        spare = _BOUNDS[at] - prefix_length(_BOUNDS[at], percent)
+        parts = max(1, min(_BOUNDS[at] // 10, spare // 3))
+        k = np.where(very, 3, 2) if spare >= 3 * parts else np.full(len(often), 2 if spare >= parts else 1)
+        group = (mixed(often ^ np.uint64(0x5BD1E995)) % np.uint64(parts)).astype(np.int64) * 4 + k
         order = np.argsort(group, kind="stable")
-        held, group = held[order], group[order]
-        for apart in range(1, len(held)):
-            both = np.flatnonzero(group[apart:] == group[:-apart])
-            if not len(both):
-                break
-            made.append(mixed(held[both] * np.uint64(0x9E3779B97F4A7C15) + mixed(held[both + apart] + np.uint64(at))))
-    return rare, np.unique(np.concatenate(made)) if made else np.empty(0, np.uint64)
+        begins = np.searchsorted(group[order], group)
+        rank = np.empty(len(often), np.int64)
+        rank[order] = np.arange(len(often))
+        stop = int(np.searchsorted(np.cumsum(rank - begins >= k - 1), need)) + 1
+        for size in np.unique(k[:stop]).tolist():
+            own = order[(order < stop) & (k[order] == size)]
+            made.append(mixed(_combinations(often[own], group[own], size) + mixed(np.array([at], np.uint64))))
+    return rare, np.unique(np.concatenate(made))
+
+
+def parities(tokens: np.ndarray) -> np.ndarray:
+    """Bits as longs: bit i tells whether the set has an odd number of tokens that are i mod the number of bits."""
+    size = min(max(BITMAP, 1 << (2 * len(tokens)).bit_length()), LARGEST_BITMAP)
+    odd = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
 
 
 def _frequent_cells(docs: DataFrame, shingle: int, percent: int) -> np.ndarray:
-    """A bit for each cell: whether the count of prefix tokens in it stands out."""
+    """Two rows with a bit for each cell: whether the count of prefix tokens in it stands out, and by far."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(CELLS, np.int32)
@@ -110,38 +153,40 @@ def _frequent_cells(docs: DataFrame, shingle: int, percent: int) -> np.ndarray:
                 sums[b] += np.frombuffer(zstandard.ZstdDecompressor().decompress(counts), np.int32)
         for b, total in sums.items():
             mean = total.mean()
-            flags = total > mean + 4 * np.sqrt(mean) + 2
-            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "flags": pa.array([np.packbits(flags).tobytes()], pa.binary())})
+            bound = mean + 4 * np.sqrt(mean) + 2
+            flags = np.stack([total > bound, total > VERY * bound])
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b], pa.int32()), "flags": pa.array([np.packbits(flags, axis=1).tobytes()], pa.binary())})
 
     summed = docs.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, flags binary")
-    bits = np.zeros(CELLS // 8, np.uint8)
-    for row in summed.collect():  # CELLS / BLOCK rows at most, CELLS / 8 bytes in all
-        bits[row["block"] * BLOCK // 8 : (row["block"] + 1) * BLOCK // 8] = np.frombuffer(row["flags"], np.uint8)
+    bits = np.zeros((2, CELLS // 8), np.uint8)
+    for row in summed.collect():  # CELLS / BLOCK rows at most, CELLS / 4 bytes in all
+        bits[:, row["block"] * BLOCK // 8 : (row["block"] + 1) * BLOCK // 8] = np.frombuffer(row["flags"], np.uint8).reshape(2, -1)
     return bits
 
 
 def _signed(docs: DataFrame, bits, shingle: int, percent: int) -> DataFrame:
-    """m (md5 of the text), doc, n, w, singles, pairs of every document; w: how many of its tokens are frequent."""
+    """m (md5 of the text), doc, n, w (how many of its tokens are frequent), singles, combined, parity of every document."""
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = bits.value
-        for keys, texts in rows(batches, slab=2_000_000):
-            sizes, shares, singles, pairs = [], [], [], []
+        for keys, texts in rows(batches):
+            sizes, shares, singles, combined, parity = [], [], [], [], []
             for tokens in shingle_sets(texts, shingle):
                 at = cells(tokens)
-                frequent = (flags[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-                one, two = signatures(tokens, frequent, percent) if len(tokens) else (tokens, tokens)
+                kinds = 1 + ((flags[:, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).sum(axis=0)
+                one, more = signatures(tokens, kinds, percent) if len(tokens) else (tokens, tokens)
                 singles.append(one.view(np.int64))
-                pairs.append(two.view(np.int64))
+                combined.append(more.view(np.int64))
+                parity.append(parities(tokens))
                 sizes.append(len(tokens))
-                shares.append(int(frequent.sum()))
+                shares.append(int((kinds > 1).sum()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([hashlib.md5(t).hexdigest() for t in texts]), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(shares, pa.int32()), _lists(singles, kind), _lists(pairs, kind)],
-                ["m", "doc", "n", "w", "singles", "pairs"],
+                [pa.array([hashlib.md5(t).hexdigest() for t in texts]), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(shares, pa.int32()), *(_lists(x, kind) for x in (singles, combined, parity))],
+                ["m", "doc", "n", "w", "singles", "combined", "parity"],
             )
 
-    return docs.mapInArrow(run, "m string, doc long, n int, w int, singles array<bigint>, pairs array<bigint>")
+    return docs.mapInArrow(run, "m string, doc long, n int, w int, singles array<bigint>, combined array<bigint>, parity array<bigint>")
 
 
 def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -154,7 +199,7 @@ def _possible(n, m, percent: int):
 
 
 def _possible_by_frequent(w, v, n, m, percent: int):
-    """For documents that meet in a pair signature. One that has such signatures has all its rare tokens as single ones,
+    """For documents that meet in a combination. One that has such signatures has all its rare tokens as single ones,
     so if two share a rare token they meet there too; else they share frequent tokens alone, and need enough of them."""
     return (100 + percent) * F.least(w, v) >= percent * (n + m)
 
@@ -164,23 +209,142 @@ def _pairs(found: DataFrame) -> DataFrame:
     return found.where("doc <> other").select(F.least("doc", "other").alias("a"), F.greatest("doc", "other").alias("b")).distinct()
 
 
-def _first_pairs(singles: DataFrame, combined: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each bucket's members with its centre and nearest; and the postings of buckets that this doesn't cover."""
+def _first_pairs(signed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs of each bucket's members with its centre and nearest; and sig, doc, n, w, paired of buckets that this doesn't cover."""
+    singles, combined = (signed.select(F.explode(c).alias("sig"), "doc", "n", "w") for c in ("singles", "combined"))
     within = Window.partitionBy("sig")
     order = within.orderBy(F.desc(F.col("w") / F.col("n")), "doc")
-    peers = F.array(F.first(F.struct("doc", "n")).over(order), *(F.lag(F.struct("doc", "n"), i).over(order) for i in range(1, NEAREST + 1)))
-    # A rare token's bucket is small by the choice of classes; a pair's may be large, so it is aggregated and joined.
-    near = singles.select("sig", "doc", "n", "w", F.count("*").over(within).alias("c"), peers.alias("peers")).where("c > 1")
-    near = stored(near, "singles")
-    one = near.select("doc", "n", F.explode(F.array_distinct("peers")).alias("p")).where("p is not null")
-    one = one.where(_possible(F.col("n"), F.col("p.n"), percent)).select("doc", F.col("p.doc").alias("other"))
+    seen = F.array(F.first(F.struct("doc", "n")).over(order), *(F.lag(F.struct("doc", "n"), i).over(order) for i in range(1, NEAREST + 1)))
+    fit = F.filter("seen", lambda p: p.isNotNull() & (p["doc"] != F.col("doc")) & _possible(F.col("n"), p["n"], percent))
+    peers = F.array_distinct(F.transform(fit, lambda p: p["doc"]))
+    # A rare token stands in few documents: its cell would stand out. A combination may stand in many.
+    near = singles.select("sig", "doc", "n", "w", F.count("*").over(within).alias("c"), seen.alias("seen")).where("c > 1")
+    near = stored(near.select("sig", "doc", "n", "w", "c", peers.alias("peers")), "singles")
+    one = near.select("doc", F.explode("peers").alias("other"))
     top = combined.groupBy("sig").agg(F.count("*").alias("c"), F.max(F.struct((F.col("w") / F.col("n")).alias("share"), (-F.col("doc")).alias("d"), "n", "w")).alias("top")).where("c > 1")
     centred = combined.join(top, "sig")
     two = centred.where(_possible(F.col("n"), F.col("top.n"), percent) & _possible_by_frequent(F.col("w"), F.col("top.w"), F.col("n"), F.col("top.n"), percent))
     two = two.select("doc", (-F.col("top.d")).alias("other"))
-    left = near.where(F.col("c") > NEAREST + 1).select("sig", "doc", "n", "w", "c", F.lit(False).alias("paired"))
-    left = left.union(centred.where("c > 2").select("sig", "doc", "n", "w", "c", F.lit(True).alias("paired")))
-    return _pairs(one.union(two)), left
+    left = near.where(F.col("c") > NEAREST + 1).select("sig", "doc", "n", "w", F.lit(False).alias("paired"))
+    left = stored(left.union(centred.where("c > 2").select("sig", "doc", "n", "w", F.lit(True).alias("paired"))), "buckets")
+    pairs = stored(_pairs(one.union(two)), "pairs")
+    drop(near)
+    return pairs, left
+
+
+def _folded(bits):
+    """A bitmap of half the size."""
+    half = (F.size(bits) / 2).cast("int")
+    return F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def _may_link(pairs: DataFrame, facts: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose bitmaps differ in no more bits than linked sets may differ in tokens."""
+    facts = facts.select("doc", "n", "parity")
+    both = pairs.join(facts.toDF("a", "n", "x"), "a").join(facts.toDF("b", "m", "y"), "b").where(_possible(F.col("n"), F.col("m"), percent))
+    x, y = F.col("x"), F.col("y")
+    same = F.when(F.size(x) == F.size(y), F.struct(x.alias("x"), y.alias("y")))
+    same = same.when(F.size(x) == 2 * F.size(y), F.struct(_folded(x).alias("x"), y.alias("y"))).when(2 * F.size(x) == F.size(y), F.struct(x.alias("x"), _folded(y).alias("y")))
+    both = both.select("a", "b", "n", "m", same.alias("s"))  # sizes further apart (a low threshold): no bound
+    apart = F.coalesce(F.aggregate(F.zip_with("s.x", "s.y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, d: s + d), F.lit(0))
+    return both.where((100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("m"))).select("a", "b").distinct()
+
+
+def _block_pairs(bits: np.ndarray, facts: dict[str, np.ndarray], percent: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, k) of members of different components that may link: for each i all such, or the nearest one only.
+
+    Members of the largest component, and of a pair of blocks the second block's, are only partners.
+    """
+    n, w, component, side, paired = (facts[x] for x in ("n", "w", "component", "side", "paired"))
+    names, sizes = np.unique(component, return_counts=True)
+    if len(names) < 2:
+        return
+    two_blocks = side.min() != side.max()
+    lead = np.flatnonzero(side == side.min()) if two_blocks else np.flatnonzero(component != names[sizes.argmax()])
+    partner = np.flatnonzero(side == side.max()) if two_blocks else np.arange(len(n))
+    half = bits.shape[0] // 2
+    across = np.ascontiguousarray(bits[:, partner])
+    for lo in range(0, len(lead), 64):
+        own = lead[lo : lo + 64]
+        limit = (100 - percent) * (n[own][:, None] + n[partner][None, :]) // (100 + percent)
+        small, large = np.minimum(n[own][:, None], n[partner][None, :]), np.maximum(n[own][:, None], n[partner][None, :])
+        fit = (100 * small >= percent * large) & (component[own][:, None] != component[partner][None, :])
+        if paired:
+            fit &= (100 + percent) * np.minimum(w[own][:, None], w[partner][None, :]) >= percent * (n[own][:, None] + n[partner][None, :])
+        apart = np.zeros(fit.shape, np.int16)
+        for k in range(half):
+            apart += np.bitwise_count(bits[k, own][:, None] ^ across[k][None, :])
+        i, j = np.nonzero(fit & (apart <= limit))
+        rest = apart[i, j].astype(np.int64)
+        for k in range(half, bits.shape[0]):
+            rest += np.bitwise_count(bits[k, own[i]] ^ across[k, j])
+        near = rest <= limit[i, j]
+        i, j, rest = i[near], j[near], rest[near]
+        if not every and len(i):
+            order = np.lexsort((rest, i))
+            order = order[np.unique(i[order], return_index=True)[1]]
+            i, j = i[order], j[order]
+        yield own[i], partner[j]
+
+
+def _least_bitmaps(lists: pa.Array) -> np.ndarray:
+    """A row of BITMAP bits for each bitmap, folded to that size."""
+    ends, flat, least = lists.offsets.to_numpy(), lists.flatten().to_numpy(), BITMAP // 64
+    ends = ends - ends[0]
+    owner = np.repeat(np.arange(len(lists)), np.diff(ends) // least)
+    out = np.zeros((len(lists), least), np.int64)
+    np.bitwise_xor.at(out, owner, flat.reshape(-1, least))
+    return out
+
+
+def _bucket_pairs(left: DataFrame, facts: DataFrame, percent: int, every: bool) -> DataFrame:
+    """(a, b) of different components that may link, from left's buckets; left: sig, c, doc, n, w, paired, component."""
+    facts = left.join(facts.select("doc", "n", "w", "parity"), ["doc", "n", "w"])
+    blocks = F.ceil(F.col("c") / MEMBERS)
+    facts = facts.withColumn("side", F.pmod(F.xxhash64("doc"), blocks)).withColumn("t", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    dealt = facts.select("sig", F.least("side", "t").alias("x"), F.greatest("side", "t").alias("y"), "side", "doc", "n", "w", "paired", "component", "parity")
+    dealt = dealt.repartition("sig", "x", "y").sortWithinPartitions("sig", "paired", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
+        held: list[dict[str, np.ndarray]] = []
+
+        def closed() -> pa.RecordBatch:
+            facts = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+            held.clear()
+            doc, fresh = facts["doc"], []
+            if len(doc) > 1:
+                bits = np.ascontiguousarray(facts["parity"].reshape(len(doc), -1).T).view(np.uint64)
+                paired = bool(facts["paired"][0])
+                for i, k in _block_pairs(bits, facts | {"paired": paired}, percent, every):
+                    for pair in zip(np.minimum(doc[i], doc[k]).tolist(), np.maximum(doc[i], doc[k]).tolist(), strict=True):
+                        if pair[0] < pair[1] and pair not in told:
+                            told.add(pair)
+                            fresh.append(pair)
+            if len(told) > 500_000:  # only spares repeats; a pair told twice does no harm
+                told.clear()
+            return pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in fresh], pa.int64()), "b": pa.array([p[1] for p in fresh], pa.int64())})
+
+        last = None
+        for batch in batches:
+            names = [x for x in batch.schema.names if x != "parity"]
+            columns = {x: batch.column(batch.schema.names.index(x)).to_numpy(zero_copy_only=False) for x in names}
+            columns = {x: c if x in ("sig", "doc", "paired") else c.astype(np.int64) for x, c in columns.items()}
+            columns["parity"] = _least_bitmaps(batch.column(batch.schema.names.index("parity")))
+            key = np.stack([columns[x].astype(np.int64) for x in ("sig", "paired", "x", "y")])
+            cuts = np.concatenate([[0], np.flatnonzero((np.diff(key, axis=1) != 0).any(axis=0)) + 1, [batch.num_rows]]).tolist()
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                now = tuple(key[:, a].tolist())
+                if held and now != last:
+                    yield closed()
+                last = now
+                held.append({x: c[a:b] for x, c in columns.items()})
+        if held:
+            yield closed()
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def verify(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -218,7 +382,9 @@ def verify(docs: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> Dat
 
     # The head's rows come before its members: nulls are first.
     dealt = members.union(heads).repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
-    return stored(dealt.mapInArrow(run, "a long, b long"), "links")
+    linked = stored(dealt.mapInArrow(run, "a long, b long"), "links")
+    drop(packed)
+    return linked
 
 
 def _opened(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int | None, np.ndarray]]:
@@ -230,42 +396,55 @@ def _opened(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[int, int | No
         yield from zip(a_s[lo:hi], b_s[lo:hi], shingle_sets([opener.decompress(batch.column(3)[i].as_py()) for i in range(lo, hi)], shingle), strict=True)
 
 
-def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of documents with different texts: (id, component) of the linked ones; (a, b) links that hold every component
-    together; (m, doc, n, ...) of all."""
+def _mixed(left: DataFrame, joined: DataFrame) -> DataFrame:
+    """left's buckets with members of several components, with each member's component and the bucket's size c; of
+    buckets of the same members one stays."""
+    placed = left.select("sig", "doc", "n", "w", "paired").join(joined.withColumnRenamed("id", "doc"), "doc", "left")
+    placed = placed.select("sig", "doc", "n", "w", "paired", F.coalesce("component", "doc").alias("component"))
+    members = F.sum(F.xxhash64("doc", "n").cast("decimal(20,0)"))
+    found = placed.groupBy("sig", "paired").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"), F.min("doc").alias("first"), F.max("doc").alias("last"), members.alias("members")
+    ).where("lo <> hi")
+    found = found.dropDuplicates(["paired", "c", "first", "last", "members"]).select("sig", "paired", "c")
+    return stored(placed.join(found, ["sig", "paired"]), "buckets")
+
+
+def links(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """Of documents with different texts: (id, component) of the linked ones; tables (a, b) of links that hold every
+    component together; (m, doc, n) of all."""
     session = docs.sparkSession
-    bits = session.sparkContext.broadcast(_frequent_cells(docs, shingle, percent))  # CELLS / 8 bytes, whatever the input
+    bits = session.sparkContext.broadcast(_frequent_cells(docs, shingle, percent))  # CELLS / 4 bytes, whatever the input
     signed = stored(_signed(docs, bits, shingle, percent), "signatures")
-    pairs, left = _first_pairs(*(signed.select(F.explode(c).alias("sig"), "doc", "n", "w") for c in ("singles", "pairs")), percent)
-    tested = stored(pairs, "candidates")
-    found = verify(docs, tested, shingle, percent)
-    left = stored(left, "buckets")
-    centres = FIRST_CENTRES
-    while True:
-        joined = stored(components(found), "components")
-        placed = left.join(joined.withColumnRenamed("id", "doc"), "doc", "left").select("sig", "doc", "n", "w", "c", "paired", F.coalesce("component", "doc").alias("component"))
-        mixed_ = placed.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("sig")
-        left = stored(placed.join(mixed_, "sig"), "buckets")
-        if left.isEmpty():
-            return joined, found, signed
-        centres *= MORE
-        ranked = left.withColumn("rank", F.row_number().over(Window.partitionBy("sig").orderBy(F.desc(F.col("w") / F.col("n")), "doc")))
-        middle = ranked.where(F.col("rank") <= centres).select("sig", F.col("doc").alias("other"), F.col("n").alias("m"), F.col("w").alias("v"), F.col("component").alias("its"))
-        more = left.join(middle, "sig").where(F.col("component") != F.col("its")).where(_possible(F.col("n"), F.col("m"), percent))
-        more = more.where(~F.col("paired") | _possible_by_frequent(F.col("w"), F.col("v"), F.col("n"), F.col("m"), percent))
-        fresh = stored(_pairs(more.select("doc", "other")).join(tested, ["a", "b"], "left_anti"), "candidates")
-        tested = tested.union(fresh)
-        found = found.union(verify(docs, fresh, shingle, percent))
-        left = left.where(F.col("c") > centres).select("sig", "doc", "n", "w", "c", "paired")
+    pairs, left = _first_pairs(signed, percent)
+    facts = stored(signed.select("m", "doc", "n", "w", "parity"), "facts")
+    drop(signed)
+    tested = [stored(_may_link(pairs, facts, percent), "candidates")]
+    drop(pairs)
+    found = [verify(docs, tested[0], shingle, percent)]
+    joined = components(found[0])
+    for every in (False, True):
+        last, left = left, _mixed(left, joined)
+        drop(last)
+        more = _bucket_pairs(left, facts, percent, every).join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
+        fresh = stored(_may_link(more, facts, percent), "candidates")
+        tested.append(fresh)
+        if not fresh.isEmpty():
+            found.append(verify(docs, fresh, shingle, percent))
+            last, joined = joined, components(reduce(DataFrame.union, found))
+            drop(last)
+    known = stored(facts.select("m", "doc", "n"), "sets")
+    drop(left, facts, *tested)
+    return joined, found, known
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document: the smallest doc_id that links reach."""
     own = documents(docs)
     alone, _ = representatives(own)
-    joined, _, signed = links(alone, shingle, percent)
+    joined, found, sets = links(alone, shingle, percent)
+    drop(*found)
     # Every text has one representative, which stands for its copies.
-    known = signed.select("m", F.col("doc").alias("node"), F.col("n").cast("bigint").alias("n_shingles")).dropDuplicates(["m"])
+    known = sets.select("m", F.col("doc").alias("node"), F.col("n").cast("bigint").alias("n_shingles")).dropDuplicates(["m"])
     noded = own.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("m")).join(known, "m")
     noded = noded.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("doc_id")).alias("id"))
     return noded.join(joined, "id", "left").select("doc_id", "n_shingles", F.coalesce("component", "id").alias("component_id"))

@@ -1,14 +1,17 @@
 """Operators across documents, against brute force."""
 
 import hashlib
+import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessitura.llm import line_dedup, ngram_join, substring_dedup
 from tessitura.llm.common import components, without
 
+from .conftest import words
 from .test_scans import ascii_lower, by_id, oracle, spaced
 
 
@@ -39,8 +42,8 @@ def test_ngram_join(make, corpus):
 
 
 def test_ngram_join_of_a_large_group(make, monkeypatch):
-    """Copies that link through their original alone, in more buckets than the first round covers."""
-    monkeypatch.setattr(ngram_join, "FIRST_CENTRES", 1)
+    """Copies that link through their original alone, in buckets of several blocks."""
+    monkeypatch.setattr(ngram_join, "MEMBERS", 7)
     r = random.Random(3)
     base = [f"b{k}" for k in range(120)]
     rows = [(500, " ".join(base))]
@@ -54,6 +57,39 @@ def test_ngram_join_of_a_large_group(make, monkeypatch):
     assert got == groups(rows)
 
 
+@pytest.mark.parametrize("members", [9, 8192])
+def test_ngram_join_of_copies_that_are_mostly_not_linked(spark, make, monkeypatch, members):
+    """Copies altered by ever more words: a few chains of links, many without; frequent and very frequent tokens."""
+    from tessitura.llm import common
+
+    monkeypatch.setattr(ngram_join, "MEMBERS", members)
+    r = random.Random(8)
+    base = [f"b{k}" for k in range(90)]
+    rows = []
+    for k in range(150):
+        copy = list(base)
+        for j in r.sample(range(90), k % 14):
+            copy[j] = f"e{k}.{j}"
+        rows.append((k, " ".join(copy)))
+    folder = common.shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    found = ngram_join.near_duplicates(make(rows))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in found.collect()}
+    assert got == groups(rows)
+    left = sorted(x.split("-")[1] for x in set(os.listdir(folder)) - before if x.startswith("tessitura-"))
+    assert left == ["components", "repeated", "sets", "texts"]
+
+
+def test_ngram_join_of_long_texts(make):
+    """Bitmaps of different sizes."""
+    base = words(4, 3000, 100_000)
+    rows = [(1, " ".join(base)), (2, " ".join(base[:1500])), (3, " ".join(base[:520])), (4, " ".join(base[:515])), (5, " ".join(base[:2700])), (6, " ".join(base[:2450])), (7, " ".join(base[:450]))]
+    rows += [(10 + k, " ".join([*base[: 1040 - 30 * k], f"x{k}"])) for k in range(5)]
+    assert len({len(ngram_join.parities(s)) for s in ngram_join.shingle_sets([t.encode() for _, t in rows])}) > 2
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.near_duplicates(make(rows)).collect()}
+    assert got == groups(rows)
+
+
 def test_signatures_meet():
     """Any two sets that reach the threshold share a signature, whatever the classes."""
     r = np.random.default_rng(1)
@@ -66,8 +102,11 @@ def test_signatures_meet():
         if 100 * common < 80 * (len(x) + len(y) - common):
             continue
         share = r.random()
-        frequent = lambda s: (s % np.uint64(1000)).astype(int) < 1000 * share
-        a, b = (ngram_join.signatures(s, frequent(s)) for s in (x, y))
+        kinds = lambda s: 1 + ((s % np.uint64(1000)).astype(int) < 1000 * share) + ((s % np.uint64(999)).astype(int) < 500 * share) * ((s % np.uint64(1000)).astype(int) < 1000 * share)
+        a, b = (ngram_join.signatures(s, kinds(s)) for s in (x, y))
+        bits = ngram_join._least_bitmaps(pa.array([ngram_join.parities(x), ngram_join.parities(y)], pa.list_(pa.int64())))
+        apart = int(np.bitwise_count((bits[0] ^ bits[1]).view(np.uint64)).sum())
+        assert apart <= len(x) + len(y) - 2 * common and 180 * apart <= 20 * (len(x) + len(y))
         assert len(np.intersect1d(a[0], b[0])) + len(np.intersect1d(a[1], b[1])), (trial, len(x), len(y), common)
 
 
@@ -85,6 +124,31 @@ def test_substring_dedup(make, corpus):
         assert real[i][0].kept == kept.decode()
 
 
+@pytest.mark.parametrize("limits", [{"HOT": 3}, {"MOST_BITS": 0}, {"HOT": 3, "MOST_BITS": 0}])
+def test_substring_dedup_by_windows_and_by_joins(make, corpus, monkeypatch, limits):
+    expected = sorted(map(tuple, substring_dedup.substring_digests(make(corpus)).collect()))
+    for k, v in limits.items():
+        monkeypatch.setattr(substring_dedup, k, v)
+    assert sorted(map(tuple, substring_dedup.substring_digests(make(corpus)).collect())) == expected
+
+
+def test_one_anchor_in_thousands_of_contexts(make, monkeypatch):
+    """A run of nine words between different neighbours: its anchor is hot, its windows are dealt out one by one."""
+    common = " ".join(words(5, 9))
+    monkeypatch.setattr(substring_dedup, "HOT", 100)
+    rows = [(i, " ".join(words(1000 + i, 12)) + " " + common + " " + " ".join(words(90_000 + i % 700, 12))) for i in range(2500)]
+    known = {r.anchor: r.hot for r in substring_dedup._shared_anchors(make(rows)).collect()}
+    assert any(known.values())
+    got = by_id(substring_dedup.substring_digests(make(rows)))
+    seen: set = set()
+    for i, t in rows:
+        w = t.split()
+        windows = [tuple(w[k : k + 13]) for k in range(len(w) - 12)]
+        gone = {j for k, q in enumerate(windows) if q in seen for j in range(k, k + 13)}
+        seen |= set(windows)
+        assert got[i][0].n_removed == len(gone), i
+
+
 def test_fm_index():
     r = np.random.default_rng(2)
     texts = [r.integers(0, 6, int(n)).astype(np.uint64) for n in r.integers(1, 40, 12)]
