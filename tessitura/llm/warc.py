@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, fresh_path
+from .common import bitmap, filesystem, fresh_path, marked_in, small_batches, stored
 
 SALTS = 16
 _RECORD = "key string, type string, record_id string, target_uri string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary"
@@ -31,19 +31,26 @@ _BREAKS = re.compile(r"[\x00-\x1f\x7f]")
 
 
 def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, refers_to: the smallest page_id with the same payload, where it is another's.
+    """page_id, url, html, refers_to, refers_uri: the smallest page_id with the same payload and its url, where it is another's.
 
-    Only digests that repeat are joined, once for each salt, so a payload that a third of all pages share is dealt out.
+    Only pages whose digest a bitmap of the repeated ones marks are joined; the others pass as they are read. Digests are
+    joined once for each salt, so a payload that a third of all pages share is dealt out.
     """
+    small_batches(pages.sparkSession)
     html = F.coalesce(F.col("html"), F.lit(""))
     own = pages.where(F.col("page_id").isNotNull()).select("page_id", "url", html.alias("html"))
     own = own.withColumns({"digest": F.sha1(F.encode("html", "UTF-8")), "salt": F.pmod(F.xxhash64("page_id"), F.lit(SALTS))})
     long = F.octet_length("html") >= least_bytes
-    firsts = own.where(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    return own.join(firsts, ["digest", "salt"], "left").select(
-        "page_id", "url", "html", F.when(long & (F.col("first") < F.col("page_id")), F.col("first")).alias("refers_to")
+    first = F.min(F.struct("page_id", "url"))
+    firsts = stored(own.where(long).groupBy("digest").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "digests")
+    repeated = marked_in(bitmap(firsts, F.xxhash64("digest")), F.xxhash64("digest"))
+    salted = firsts.select("digest", "first", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    later = long & (F.col("first.page_id") < F.col("page_id"))
+    joined = own.where(repeated).join(salted, ["digest", "salt"], "left").select(
+        "page_id", "url", "html", F.when(later, F.col("first.page_id")).alias("refers_to"), F.when(later, F.col("first.url")).alias("refers_uri")
     )
+    alone = own.where(~repeated).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_uri"))
+    return alone.unionByName(joined)
 
 
 def _record(kind: str, record_id: str, fields: dict[str, str | None], block: bytes) -> bytes:
@@ -57,10 +64,14 @@ def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def transaction(page_id: int, url: str | None, payload: bytes, refers_to: int | None, date: str) -> list[bytes]:
-    """The request, response or revisit, and metadata records of one capture."""
+def _escaped(url: str | None) -> str | None:
+    return None if url is None else _BREAKS.sub(lambda m: f"%{ord(m[0]):02X}", url)
+
+
+def transaction(page_id: int, url: str | None, payload: bytes, refers_to: int | None, date: str, refers_uri: str | None = None) -> list[bytes]:
+    """The request, response or revisit, and metadata records of one capture; a revisit names what it repeats."""
     main, ask, about = (f"<urn:uuid:{uuid.uuid4()}>" for _ in range(3))
-    target = None if url is None else _BREAKS.sub(lambda m: f"%{ord(m[0]):02X}", url)
+    target = _escaped(url)
     common = {"WARC-Date": date, "WARC-Target-URI": target}
     path = re.sub(r"^\w+://[^/?#]*", "", target or "").partition("#")[0].replace(" ", "%20") or "/"
     host = (re.findall(r"^\w+://([^/?#]*)", target or "") or [""])[0]
@@ -68,6 +79,7 @@ def transaction(page_id: int, url: str | None, payload: bytes, refers_to: int |
     reply = common | {"WARC-Payload-Digest": f"sha1:{payload_digest(payload)}", "Content-Type": "application/http; msgtype=response"}
     if refers_to is not None:
         reply["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+        reply |= {"WARC-Refers-To-Target-URI": _escaped(refers_uri), "WARC-Refers-To-Date": date}
     notes = {"page-id": page_id, "payload-bytes": len(payload)} | ({} if refers_to is None else {"refers-to-page": refers_to})
     near = common | {"WARC-Concurrent-To": main}
     return [
@@ -84,13 +96,13 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, date: st
         fs, base = filesystem(folder)
         out, name, n = None, f"{uuid.uuid4().hex}.warc.gz", 0
         for batch in batches:
-            get = {k: batch.column(batch.schema.names.index(k)) for k in ("page_id", "url", "html", "refers_to")}
+            get = {k: batch.column(batch.schema.names.index(k)) for k in ("page_id", "url", "html", "refers_to", "refers_uri")}
             html = get["html"].cast(pa.large_binary())
             for i in range(batch.num_rows):
                 if out is None:
                     fs.create_dir(f"{base}/archives", recursive=True)
                     out = fs.open_output_stream(f"{base}/archives/{name}", compression=None)
-                for record in transaction(get["page_id"][i].as_py(), get["url"][i].as_py(), html[i].as_py(), get["refers_to"][i].as_py(), date):
+                for record in transaction(get["page_id"][i].as_py(), get["url"][i].as_py(), html[i].as_py(), get["refers_to"][i].as_py(), date, get["refers_uri"][i].as_py()):
                     out.write(gzip.compress(record, 1, mtime=0))
                     n += 1
         if out is not None:
@@ -192,8 +204,8 @@ def read_archives(files: DataFrame, folder: str, keep_payload: bool = False) ->
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names)
 
-    # A file is a task's unit of work.
-    return files.select("file").repartition(F.col("file")).mapInArrow(read, _RECORD)
+    # A file is a task's unit of work: there are as many as writing tasks, and a stated number isn't made fewer at run time.
+    return files.select("file").repartition(max(1, files.count())).mapInArrow(read, _RECORD)
 
 
 def assemble(records: DataFrame) -> DataFrame:

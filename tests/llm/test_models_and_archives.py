@@ -38,6 +38,13 @@ def test_nested_rows(spark, tmp_path):
     assert rows[3].request.target_uri == "http://a.example/y"
 
 
+def test_revisits_name_what_they_repeat(spark):
+    revisit = next(warc.parse_records(io.BytesIO(warc.transaction(9, "u", b"x", 5, "1970-01-01T00:00:00Z", "http://a/\r")[1])))[0]
+    assert revisit["warc-type"] == "revisit" and revisit["warc-refers-to-target-uri"] == "http://a/%0D" and revisit["warc-refers-to-date"] == "1970-01-01T00:00:00Z"
+    empty = spark.createDataFrame([(None, "u", "x")], "page_id long, url string, html string")
+    assert warc.capture_digests(empty).count() == 0
+
+
 def test_short_payloads_are_responses(spark):
     pages = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     assert {r.page_id: r.record_type for r in warc.capture_digests(pages, least_bytes=3).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
