@@ -1,15 +1,16 @@
 """Benchmark decontamination with a positional inverted index of the training texts.
 
-Each task indexes the texts it reads, shard by shard: for every test term the sorted list of its positions. A test
-window is found by starting from its rarest term in the shard and intersecting the lists, each shifted by the term's
-place in the window, so common words are touched last and only where the rare ones agree. Windows with a term that the
-shard lacks are dropped at once. Proximity: an item is near where three quarters of its different terms, absent ones
-being misses, lie within a span of its own length and `slop` words more, in one text. Every such span holds one of the
-item's rarest terms (as many as may miss and one more), so only their places are tried; what is found is the same
-whatever texts a shard holds.
+Postings are stored in the shared folder: for every term of a shard of texts the gaps between its positions. A test set
+is answered from them alone, texts are not read again: postings of the test set's terms (a semi join) are dealt by shard,
+and the task that has a shard finds a test window by starting from its rarest term there and intersecting the lists,
+each shifted by the term's place in the window, so common words are touched last and only where the rare ones agree.
+Windows with a term that the shard lacks are dropped at once. Proximity: an item is near where three quarters of its
+different terms, absent ones being misses, lie within a span of its own length and `slop` words more, in one text.
+Every such span holds one of the item's rarest terms (as many as may miss and one more), so only their places are tried;
+what is found is the same whatever texts a shard holds.
 
-The test set is stored once in the shared folder and each task reads it block by block: its size is bounded by no
-broadcast. Texts are never shuffled.
+The test set is stored once in the shared folder too and each task reads it block by block: its size is bounded by no
+broadcast.
 
 Defined results: null text: no words and no hit; an item without words has no window; an item of fewer words than a
 window is one window by itself; repeated rows each give a row; rows with a null doc_id, items with a null item_id are
@@ -21,16 +22,19 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, documents, filesystem, fresh_path, rows
+from .common import ALNUM, documents, filesystem, fresh_path, rows, stored
 
-WORDS, SLOP, BLOCK_ITEMS = 10, 20, 20_000
+WORDS, SLOP, BLOCK_ITEMS, SHARD_BYTES = 10, 20, 20_000, 8_000_000
+_NOWHERE = np.empty(0, np.int64)
 #: The share of an item's different terms that a near place has, in quarters.
 NEAR_QUARTERS = 3
 _SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long, item_ids array<long>"
@@ -56,21 +60,16 @@ class TestBlock:
 
 
 class PositionalIndex:
-    """Positions of each test term in a shard: the texts lie one behind another with a gap between."""
+    """Positions of each test term in a shard: the texts, of these sizes, lie one behind another with a gap between."""
 
-    def __init__(self, texts: list[list[bytes]], terms: dict[bytes, int]) -> None:
-        sizes = np.array([len(t) for t in texts], np.int64)
+    def __init__(self, sizes: np.ndarray, held: dict[bytes, np.ndarray], terms: dict[bytes, int]) -> None:
         self.starts = np.concatenate([[0], np.cumsum(sizes + 1)])
-        find = terms.get
-        flat = np.full(int(self.starts[-1]), -1, np.int32)
-        for words, at in zip(texts, self.starts.tolist(), strict=False):
-            flat[at : at + len(words)] = np.fromiter((find(w, -1) for w in words), np.int32, len(words))
-        held = np.flatnonzero(flat >= 0)
-        order = np.argsort(flat[held], kind="stable")
-        self.positions = held[order]
-        self.df = np.bincount(flat[held], minlength=max(1, len(terms)))
+        lists = [held.get(t, _NOWHERE) for t in terms] or [_NOWHERE]
+        self.df = np.array([len(x) for x in lists], np.int64)
         self.ends = np.cumsum(self.df)
-        self.flat = flat
+        self.positions = np.concatenate(lists)
+        self.flat = np.full(int(self.starts[-1]), -1, np.int32)
+        self.flat[self.positions] = np.repeat(np.arange(len(lists), dtype=np.int32), self.df)
 
     def postings(self, term: int) -> np.ndarray:
         return self.positions[self.ends[term] - self.df[term] : self.ends[term]]
@@ -131,14 +130,40 @@ class PositionalIndex:
         return np.searchsorted(self.starts, positions, "right") - 1
 
 
+def _binaries(ends: np.ndarray, values: np.ndarray) -> pa.Array:
+    """A binary value of each run of values that ends there."""
+    offsets = np.concatenate([[0], ends * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def postings(texts: list[list[bytes]]) -> tuple[np.ndarray, list[bytes], pa.Array]:
+    """The texts' numbers of words, their different terms, and for each the gaps between its positions, the first from 0."""
+    terms: dict[bytes, int] = defaultdict(count().__next__)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ids = np.concatenate([np.fromiter(map(terms.__getitem__, t), np.int32, len(t)) for t in texts])
+    order = np.argsort(ids, kind="stable")
+    places = (np.arange(len(ids)) + np.repeat(np.arange(len(texts)), sizes))[order]  # a gap behind each text
+    ends = np.cumsum(np.bincount(ids, minlength=len(terms)))
+    gaps = np.diff(places, prepend=0)
+    gaps[ends[:-1]] = places[ends[:-1]]
+    return sizes, list(terms), _binaries(ends, gaps.astype(np.int32))
+
+
 def search(texts: list[list[bytes]], blocks: Iterator[TestBlock], slop: int) -> tuple[np.ndarray, list[set[int]], list[set[int]]]:
-    """For each text: its hit words, items with exact windows, items with proximity matches."""
-    exact: list[set[int]] = [set() for _ in texts]
-    near: list[set[int]] = [set() for _ in texts]
-    starts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]).astype(np.int64)
+    """search_postings in a shard of texts at hand."""
+    sizes, terms, places = postings(texts)
+    return search_postings(sizes, dict(zip(terms, places.to_pylist(), strict=True)), blocks, slop)
+
+
+def search_postings(sizes: np.ndarray, places: dict[bytes, bytes], blocks: Iterator[TestBlock], slop: int) -> tuple[np.ndarray, list[set[int]], list[set[int]]]:
+    """For each text of a shard: its hit words, items with exact windows, items with proximity matches."""
+    held = {t: np.cumsum(np.frombuffer(p, np.int32), dtype=np.int64) for t, p in places.items()}
+    exact: list[set[int]] = [set() for _ in sizes]
+    near: list[set[int]] = [set() for _ in sizes]
+    starts = np.concatenate([[0], np.cumsum(sizes + 1)])
     change = np.zeros(int(starts[-1]) + 1, np.int64)
     for block in blocks:
-        index = PositionalIndex(texts, block.terms)
+        index = PositionalIndex(sizes, held, block.terms)
         df = np.concatenate([index.df, [1]])  # the last for the grid's padding
         for i in np.flatnonzero((df[block.grid] > 0).all(axis=1)).tolist() if block.windows else []:
             window, items = block.windows[i]
@@ -155,10 +180,43 @@ def search(texts: list[list[bytes]], blocks: Iterator[TestBlock], slop: int) ->
     return covered[starts[1:]] - covered[starts[:-1]], exact, near
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slop: int = SLOP) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items, item_ids of every document."""
-    path = fresh_path(docs.sparkSession, "benchmark")
-    benchmark.select("item_id", "text").where(F.col("item_id").isNotNull()).write.parquet(path)
+def build_index(docs: DataFrame) -> DataFrame:
+    """The stored index of docs: shard, term, places (gaps between the term's positions, the first from 0).
+
+    A shard is about SHARD_BYTES of texts that a task reads in a row; a longer text is one by itself. The shard's row
+    with an empty term holds its doc_ids and then their numbers of words.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for number, (keys, texts) in enumerate(rows(batches, slab=SHARD_BYTES)):
+            sizes, terms, places = postings([t.translate(ALNUM).split() for t in texts])
+            head = np.concatenate([np.array(keys, np.int64), sizes])
+            for names, lists in (([b""], _binaries(np.array([len(head)]), head)), (terms, places)):
+                shard = pa.array(np.full(len(names), task << 32 | number))
+                yield pa.RecordBatch.from_arrays([shard, pa.array(names, pa.binary()), lists], ["shard", "term", "places"])
+
+    return stored(documents(docs).mapInArrow(run, "shard long, term binary, places binary"), "postings")
+
+
+def _terms(benchmark: DataFrame) -> DataFrame:
+    """The test set's different terms, and the empty one of the shards' heads."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in rows(batches, "item_id"):
+            found = {w for t in texts for w in t.translate(ALNUM).split()}
+            yield pa.RecordBatch.from_pydict({"term": pa.array(sorted(found), pa.binary())})
+
+    head = benchmark.sparkSession.range(1).select(F.lit(b"").alias("term"))
+    return head.union(benchmark.mapInArrow(run, "term binary")).distinct()
+
+
+def look_up(index: DataFrame, benchmark: DataFrame, words: int = WORDS, slop: int = SLOP) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items, item_ids of every indexed document."""
+    path = fresh_path(index.sparkSession, "benchmark")
+    benchmark = benchmark.select("item_id", "text").where(F.col("item_id").isNotNull())
+    benchmark.write.parquet(path)
+    benchmark = index.sparkSession.read.schema("item_id long, text string").parquet(path)
     kept: list[TestBlock] = []
 
     def blocks() -> Iterator[TestBlock]:
@@ -177,20 +235,43 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slo
         if made == 1:  # a small test set is compiled once a worker
             kept.append(first)
 
+    def answer(shard: list[tuple[list[bytes], list[bytes]]]) -> pa.RecordBatch:
+        held = {t: p for terms, places in shard for t, p in zip(terms, places, strict=True)}
+        keys, sizes = np.frombuffer(held.pop(b""), np.int64).reshape(2, -1)
+        hit, exact, near = search_postings(sizes, held, blocks(), slop)
+        ordered = [sorted(x) for x in exact]
+        return pa.RecordBatch.from_pydict({
+            "doc_id": pa.array(keys, pa.int64()),
+            "n_words": pa.array(sizes, pa.int64()),
+            "n_hit": pa.array(hit, pa.int64()),
+            "n_items": pa.array([len(x) for x in ordered], pa.int64()),
+            "items_sha256": [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in ordered],
+            "contaminated": pa.array(hit > 0),
+            "n_near_items": pa.array([len(x) for x in near], pa.int64()),
+            "item_ids": pa.array(ordered, pa.list_(pa.int64())),
+        })
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in rows(batches, slab=8_000_000):
-            split = [t.translate(ALNUM).split() for t in texts]
-            hit, exact, near = search(split, blocks(), slop)
-            ordered = [sorted(x) for x in exact]
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.array(keys, pa.int64()),
-                "n_words": pa.array([len(t) for t in split], pa.int64()),
-                "n_hit": pa.array(hit, pa.int64()),
-                "n_items": pa.array([len(x) for x in ordered], pa.int64()),
-                "items_sha256": [hashlib.sha256(",".join(sorted(map(str, x))).encode()).hexdigest() for x in ordered],
-                "contaminated": pa.array(hit > 0),
-                "n_near_items": pa.array([len(x) for x in near], pa.int64()),
-                "item_ids": pa.array(ordered, pa.list_(pa.int64())),
-            })
-
-    return documents(docs).mapInArrow(run, _SCHEMA)
+        shard: list[tuple[list[bytes], list[bytes]]] = []
+        last = None
+        for batch in batches:
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(names, prepend=names[:1], append=names[-1:])).tolist()
+            for a, b in zip([0, *cuts], [*cuts, len(names)], strict=True):
+                if a == b:
+                    continue
+                if shard and names[a] != last:
+                    yield answer(shard)
+                    shard = []
+                last = names[a]
+                shard.append((batch.column(1)[a:b].to_pylist(), batch.column(2)[a:b].to_pylist()))
+        if shard:
+            yield answer(shard)
+
+    wanted = index.join(_terms(benchmark), "term", "left_semi").select("shard", "term", "places")
+    return wanted.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, _SCHEMA)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, slop: int = SLOP) -> DataFrame:
+    """look_up in an index of docs that is stored first; keep build_index's table for more than one test set."""
+    return look_up(build_index(docs), benchmark, words, slop)

@@ -171,6 +171,23 @@ def test_decontaminate(make, spark, corpus, items):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(found), digest, bool(hit))
 
 
+def test_stored_index_answers_other_benchmarks(make, spark):
+    rows = [(1, "a b c d e f g h i j k"), (2, "x y z"), (2, "x y z"), (3, None), (4, "A-B c"), (None, "x y z")]
+    index = decontaminate.build_index(make(rows).repartition(3))
+    assert set(index.columns) == {"shard", "term", "places"}
+    for items in ([(1, "x y z"), (None, "a b c")], [(7, "b c d e f g h i j k"), (8, "a b c"), (9, None)], []):
+        got = by_id(decontaminate.look_up(index, spark.createDataFrame(items, "item_id long, text string")))
+        wanted = {i: [k for k, t in items if k is not None and t and alnum(t) and any(holds_window(alnum(x or ""), alnum(t)) for j, x in rows if j == i)] for i in (1, 2, 3, 4)}
+        assert {i: got[i][0].item_ids for i in got} == wanted and len(got[2]) == 2
+
+
+def holds_window(text, item):
+    """Whether a window of the item, of ten words or all, stands in the text."""
+    n = min(10, len(item))
+    windows = {tuple(item[i : i + n]) for i in range(len(item) - n + 1)}
+    return any(tuple(text[i : i + n]) in windows for i in range(len(text) - n + 1))
+
+
 def test_proximity():
     block = decontaminate.TestBlock([1], [b"alpha beta gamma"], 10)
     near = [w.split() for w in (b"gamma x x alpha y beta", b"alpha " + b"z " * 30 + b"beta gamma", b"alpha beta")]
