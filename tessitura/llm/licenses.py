@@ -1,6 +1,7 @@
 """License scans: exact license phrases, and fuzzy ones found by exact seeds and verified with bounded edits.
 
-A phrase of n characters allows n // 8 edits. It is cut into one more piece than it allows edits, so each fuzzy place
+Base phrases give the base columns; they allow an edit for each 8 characters. The other notices, each with an edit bound
+of its own, add labels and spans only. A phrase is cut into one more piece than it allows edits, so each fuzzy place
 holds one piece unchanged (pigeonhole); places of pieces are candidates, and regex's bounded-error matching verifies the
 characters around them and gives span and edits. Every step looks at one text only: one pass, nothing is shuffled.
 
@@ -20,6 +21,29 @@ from .common import ALNUM, documents, rows
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+#: Short notices of public licenses (in words as scanned), their labels and the edits they allow.
+NOTICES = {
+    "gnu lesser general public license": ("lgpl", 4),
+    "gnu affero general public license": ("agpl", 4),
+    "mozilla public license": ("mpl", 2),
+    "eclipse public license": ("epl", 2),
+    "boost software license": ("boost", 2),
+    "isc license": ("isc", 0),
+    "bsd license": ("bsd", 0),
+    "bsd 2 clause": ("bsd", 0),
+    "bsd 3 clause": ("bsd", 0),
+    "redistribution and use in source and binary forms": ("bsd", 5),
+    "permission is hereby granted free of charge to any person obtaining a copy": ("mit", 6),
+    "permission to use copy modify and or distribute this software for any purpose": ("isc", 6),
+    "free and unencumbered software released into the public domain": ("unlicense", 5),
+    "creative commons attribution": ("cc-by", 3),
+    "creative commons attribution sharealike": ("cc-by-sa", 3),
+    "creative commons attribution noncommercial": ("cc-by-nc", 3),
+    "cc by sa": ("cc-by-sa", 0),
+    "cc by nc": ("cc-by-nc", 0),
+    "cc0 1 0 universal": ("cc0", 0),
+    "spdx license identifier": ("spdx", 2),
+}
 CHARACTERS_AN_EDIT = 8
 _SCHEMA = (
     "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
@@ -28,8 +52,8 @@ _SCHEMA = (
 
 
 class Notice:
-    def __init__(self, phrase: str, label: str) -> None:
-        self.phrase, self.label, self.edits = phrase.encode(), label, len(phrase) // CHARACTERS_AN_EDIT
+    def __init__(self, phrase: str, label: str, edits: int, base: bool) -> None:
+        self.phrase, self.label, self.edits, self.base = phrase.encode(), label, edits, base
         cuts = [len(phrase) * i // (self.edits + 1) for i in range(self.edits + 2)]
         self.pieces = [(a, self.phrase[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)] if self.edits else []
         self.fuzzy = regex.compile(f"(?be)(?<![^ ])(?:{phrase}){{e<={self.edits}}}(?![^ ])")
@@ -84,30 +108,35 @@ class Notice:
         return sorted(out, key=lambda m: m.start())
 
 
-def scan(docs: DataFrame, phrases: dict[str, str] | None = None) -> DataFrame:
+def compiled(phrases: dict[str, str], notices: dict[str, tuple[str, int]]) -> list[Notice]:
+    base = [Notice(p, label, len(p) // CHARACTERS_AN_EDIT, True) for p, label in phrases.items()]
+    return base + [Notice(p, label, edits, False) for p, (label, edits) in notices.items() if p not in phrases]
+
+
+def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, tuple[str, int]] = NOTICES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of every document.
 
     score: 1 for an exact place, else 1 - edits / phrase length of the best fuzzy one, else 0. spans: all places of
     either kind, words counted from 0, end_word exclusive.
     """
-    wanted = dict(phrases or PHRASES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        notices = [Notice(p, label) for p, label in wanted.items()]
+        wanted = compiled(phrases, notices)
         for keys, texts in rows(batches):
             out: dict[str, list] = {x.split()[0]: [] for x in _SCHEMA.split(", ")[:8]} | {"spans": []}
             for key, text in zip(keys, texts, strict=True):
                 words = text.translate(ALNUM).split()
                 line = b" " + b" ".join(words) + b" "
                 starts, base, labels, score, spans = [], set(), set(), 0.0, []
-                for notice in notices:
+                for notice in wanted:
                     exact = notice.exact(line)
                     for at in exact:
                         first = line.count(b" ", 0, at) - 1
-                        starts.append(first)
+                        if notice.base:
+                            starts.append(first)
                         spans.append((notice.label, first, first + notice.phrase.count(b" ") + 1, 0))
                     if exact:
-                        base.add(notice.label)
+                        (base if notice.base else labels).add(notice.label)
                         score = 1.0
                     for a, b, edits in notice.near(line):
                         if edits:

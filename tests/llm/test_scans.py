@@ -1,6 +1,7 @@
 """Operators that look at one text at a time, against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -135,6 +136,51 @@ def test_licenses_next_to_better_ones(make):
     assert [(s.label, s.first_word, s.end_word, s.edits) for s in spans] == [("gpl", 0, 4, 1), ("gpl", 5, 9, 0), ("gpl", 9, 13, 2), ("mit", 14, 16, 1), ("mit", 16, 18, 0), ("mit", 18, 20, 1)]
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_license_spans_by_dynamic_programming(make):
+    """Every place within the bound meets a span of its label, and every span is within the bound of a phrase of its label."""
+    rng, letters, wanted = random.Random(5), "abcdefilnopst ", licenses.compiled(licenses.PHRASES, licenses.NOTICES)
+    rows = []
+    for i in range(60):
+        parts = []
+        for _ in range(4):
+            phrase = list(rng.choice(wanted).phrase.decode())
+            for _ in range(rng.randrange(5)):
+                at = rng.randrange(len(phrase))
+                phrase[at : at + rng.randrange(2)] = rng.choice(["", rng.choice(letters)])
+            parts += ["".join(phrase), " ".join("".join(rng.choices(letters[:-1], k=4)) for _ in range(rng.randrange(3)))]
+        rows.append((i, " ".join(parts)))
+    got = by_id(licenses.scan(make(rows)))
+    for i, text in rows:
+        own = alnum(text)
+        spans = [(s.label, s.first_word, s.end_word, s.edits) for s in got[i][0].spans]
+        for label, first, end, edits in spans:
+            far = [(edit_distance(n.phrase.decode(), " ".join(own[first:end])), n.edits) for n in wanted if n.label == label]
+            assert any(d <= edits <= bound for d, bound in far), (text, label, first, end)
+        for n in wanted:
+            phrase = n.phrase.decode()
+            for first in range(len(own)):
+                for end in range(first + 1, min(len(own), first + phrase.count(" ") + 3) + 1):
+                    place = " ".join(own[first:end])
+                    if abs(len(place) - len(phrase)) <= n.edits and edit_distance(phrase, place) <= n.edits:
+                        assert any(label == n.label and a < end and first < b for label, a, b, _ in spans), (text, phrase, place)
+
+
+def test_own_notices_leave_the_base_alone(make):
+    text = "Licensed under the Mozilla Public Licence; SPDX-License-Identifier: x. Redistribution and use in source and binary forms"
+    r = by_id(licenses.scan(make([(1, text), (2, None), (3, "no notice"), (3, "no notice")])))
+    assert (r[1][0].labels, r[1][0].base_labels, r[1][0].n_base, r[1][0].first_word, r[1][0].score) == ("bsd,mpl,spdx", "", 0, None, 1.0)
+    assert [(x.labels, x.score) for x in r[2] + r[3]] == [("", 0.0)] * 3
+
+
 def test_quality(make, corpus):
     rows = [*corpus, (300, "a b c d e f g h\n" * 6), (301, "### $$$ " * 30), (302, "x " * 500)]
     got = sorted((tuple(r) for r in quality.rate(make(rows)).collect()), key=repr)
