@@ -61,6 +61,11 @@ def tok(spark: SparkSession, sf_dir: str, by: str = "source") -> DataFrame:
     return lexicon.tokens(docs(spark, sf_dir), by)
 
 
+def words(spark: SparkSession, sf_dir: str, by: str) -> DataFrame:
+    """author, doc_id, lemmas of each text."""
+    return docs(spark, sf_dir).select(F.col(by).alias("author"), "doc_id", F.transform(T.tokens(F.col("text")), T.normalize_lemma).alias("lemmas"))
+
+
 def r6(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.round(n, D6) + F.lit(0.0) for n in names})  # no negative zero
 
@@ -224,12 +229,12 @@ curve AS (SELECT author, n, avg(types) AS types FROM c GROUP BY ALL)"""
 g AS (SELECT DISTINCT author, (CASE WHEN i = 0 THEN 100 WHEN i = 49 THEN last ELSE floor(100 * pow(last / 100.0::DOUBLE, i / 49.0::DOUBLE)) END)::INT AS n FROM e, (SELECT unnest(range(0, 50)) AS i))
 SELECT author, round(exp(regr_intercept(ln(types), ln(n))), 6) AS heaps_k, round(regr_slope(ln(types), ln(n)), 6) AS heaps_beta, round(regr_r2(ln(types), ln(n)), 6) AS heaps_r2 FROM curve JOIN g USING (author, n) GROUP BY author""")
 def heaps_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(sampling.heaps_fit(sampling.mean_growth_points(tok(spark, sf_dir), SHUFFLES)), "heaps_k", "heaps_beta", "heaps_r2")
+    return r6(sampling.heaps_fit(sampling.mean_growth_points(words(spark, sf_dir, "source"), SHUFFLES)), "heaps_k", "heaps_beta", "heaps_r2")
 
 
 @query(_MEAN.format(TOK_LANG) + " SELECT author, n, round(types, 6) AS types FROM curve")
 def mean_growth_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r6(sampling.mean_growth_curve(tok(spark, sf_dir, "lang"), SHUFFLES), "types")
+    return r6(sampling.mean_growth_curve(words(spark, sf_dir, "lang"), SHUFFLES), "types")
 
 
 # Chronology
