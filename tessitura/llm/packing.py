@@ -73,7 +73,11 @@ class Bm25Index:
             scores += np.bincount(np.concatenate([self.docs[c] for c in cuts]), np.concatenate([self.impact[c] for c in cuts]), self.n)
         scores[used] = 0
         found = np.flatnonzero(scores)
-        return found[np.argsort(-scores[found], kind="stable")[:at_most]]
+        own = scores[found]
+        if len(found) > at_most:  # only the best are sorted, with all that tie with the last of them
+            best = own >= np.partition(own, len(own) - at_most)[len(own) - at_most]
+            found, own = found[best], own[best]
+        return found[np.argsort(-own, kind="stable")[:at_most]]
 
 
 def pack_shard(docs: list[np.ndarray], vocabulary: int, window: int, open_pieces: list[tuple[int, int, int]], emit) -> list[tuple[int, int, int]]:

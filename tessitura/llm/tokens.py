@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import regex
@@ -10,6 +11,11 @@ from tokenizers import Tokenizer
 #: The pre-tokenizer patterns of the two public files.
 BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The same on printable ASCII in lower case, and such texts in any case.
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+_PRINTABLE = re.compile(r"[\x21-\x7E]+\Z")
+#: Normalizers that only lower the case of printable ASCII, in any order and with Lowercase among them.
+_LOWERING = {"NFC", "Lowercase"}
 _LATIN = re.compile(r"[\x00-ɏ]*\Z")
 
 
@@ -23,6 +29,12 @@ def _byte_characters() -> dict[int, int]:
 _BYTE_CHARACTERS = _byte_characters()
 
 
+def _only_lowers(normalizer: dict) -> bool:
+    steps = normalizer["normalizers"] if normalizer["type"] == "Sequence" else [normalizer]
+    spaces = lambda x: x["type"] == "Replace" and x["pattern"] == {"Regex": r"\s+"}
+    return any(x["type"] == "Lowercase" for x in steps) and all(x["type"] in _LOWERING or spaces(x) for x in steps)
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian bytes of `width`, equal to Tokenizer.encode(text, add_special_tokens=False).
 
@@ -38,6 +50,7 @@ class PieceEncoder:
         self.width = 2 if size <= 1 << 16 else 4
         self.limit = limit
         self.lowers = self.tokenizer.normalizer is not None
+        self.only_lowers = self.lowers and _only_lowers(json.loads(self.tokenizer.to_str())["normalizer"])
         names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.specials = re.compile("|".join(map(re.escape, names)) or r"(?!)")
         self.whole_only = any(re.search(r"\s", x) for x in names)
@@ -54,20 +67,28 @@ class PieceEncoder:
         word = part if self.lowers else part[1:]
         if not word or word[0].isspace() or word[-1].isspace() or self.specials.search(word):
             return None
+        if self.only_lowers and _PRINTABLE.match(part):
+            known, out = self.pieces, []
+            for piece in _ASCII_WORDS.findall(part.lower()):
+                out.append(known.get(piece) or self._piece(piece, piece))
+            return b"".join(out)
         return self._pieces(part)
 
+    def _piece(self, piece: str, spelled: str) -> bytes:
+        got = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(spelled)])
+        if len(self.pieces) < self.limit:
+            self.pieces[piece] = got
+        return got
+
     def _pieces(self, part: str) -> bytes:
         if not _LATIN.match(part):
             return self._plain(part)
         found = WORD_LEVEL.findall(self.tokenizer.normalizer.normalize_str(part)) if self.lowers else BYTE_LEVEL.findall(part)
-        known, width, out = self.pieces, self.width, []
+        known, out = self.pieces, []
         for piece in found:
             got = known.get(piece)
             if got is None:
-                spelled = piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS)
-                got = b"".join([t.id.to_bytes(width, "little") for t in self.model.tokenize(spelled)])
-                if len(known) < self.limit:
-                    known[piece] = got
+                got = self._piece(piece, piece.encode().decode("latin-1").translate(_BYTE_CHARACTERS))
             out.append(got)
         return b"".join(out)
 

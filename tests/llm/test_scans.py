@@ -266,3 +266,27 @@ def test_empty_tables(make, spark):
     bench = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     for df in (binary_records.record_digests(none, BYTE), packing.pack(none, WORD), licenses.scan(none), quality.rate(none), decontaminate.decontaminate(none, bench)):
         assert df.count() == 0
+
+
+def test_word_level_ascii():
+    # Printable ASCII is lower-cased without the file's normalizer; all else still goes through it.
+    import public_tokenizers
+
+    from tessitura.llm.tokens import PieceEncoder
+
+    own = PieceEncoder(public_tokenizers.path("word_bpe_49k.json"))
+
+    class Counted:
+        calls = 0
+
+        def normalize_str(self, x, normalize=own.tokenizer.normalizer.normalize_str):
+            Counted.calls += 1
+            return normalize(x)
+
+    plain = own.tokenizer
+    own.tokenizer = type("T", (), {"normalizer": Counted(), "encode": staticmethod(plain.encode)})()
+    for text, calls in (("It's WE'LL-known, 'S 42nd <b>|~", 0), ("Straße İs K one\x1ctwo", None), ("a <|endoftext|>b", None)):
+        ids = b"".join(i.to_bytes(own.width, "little") for i in plain.encode(text, add_special_tokens=False).ids)
+        assert own.encode(text) == ids
+        assert calls is None or Counted.calls == calls
+    assert Counted.calls
