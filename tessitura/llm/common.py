@@ -84,13 +84,17 @@ def documents(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def _give_back() -> None:
-    """Memory that an earlier task of this Python worker has freed goes back to the system, where the C library can."""
+    """Memory that this Python worker has freed, Arrow's too, goes back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 
 
 def rows(batches: Iterable[pa.RecordBatch], key: str = "doc_id", text: str = "text", slab: int = 2_000_000) -> Iterator[tuple[list, list[bytes]]]:
-    """Keys and UTF-8 texts (null: empty) in slabs of about so many bytes; a longer text is a slab by itself."""
+    """Keys and UTF-8 texts (null: empty) in slabs of about so many bytes; a longer text is a slab by itself.
+
+    Freed memory is given back before and after: a worker that idles holds none while the JVM's next stage needs it.
+    """
     _give_back()
     keys: list = []
     texts: list[bytes] = []
@@ -108,6 +112,9 @@ def rows(batches: Iterable[pa.RecordBatch], key: str = "doc_id", text: str = "te
             held += len(t)
     if texts:
         yield keys, texts
+    batch = column = None
+    del keys, texts
+    _give_back()
 
 
 _BASE = 0x9E3779B97F4A7C15

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ALNUM, documents, rows, stored
+from .common import ALNUM, _give_back, documents, rows, stored
 
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_BYTES, TRAIN_TOTAL = 600, 2500, 6_000, 12_000_000
 SEGMENT, DIM, BUCKETS, GRAMS = 2, 8, 1 << 18, (3, 4, 5)
@@ -97,20 +97,20 @@ def train(texts: list[bytes], labels: list[int]) -> Model:
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(BUCKETS), 40.0 if share == 1 else -40.0)
-    split = [t.translate(ALNUM).split() for t in texts]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in split for w in t))}
+    vocabulary: dict[bytes, int] = {}
+    ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in t.translate(ALNUM).split()], np.int32) for t in texts]
     buckets, starts = gram_buckets(list(vocabulary))
     counts = np.diff(np.append(starts, len(buckets)))
-    ids = [np.fromiter(map(vocabulary.__getitem__, t), np.int64, len(t)) for t in split]
     lengths = np.array([len(x) for x in ids])
     flat = np.concatenate(ids)
-    doc = np.repeat(np.arange(len(ids)), lengths)
+    doc = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
     # A segment begins at every word that has enough words behind it; a shorter text is one segment.
     n_segments = np.where(lengths > 0, np.maximum(1, lengths - SEGMENT + 1), 0)
     first = np.cumsum(n_segments) - n_segments
-    segment_doc = np.repeat(np.arange(len(ids)), n_segments)
-    sizes = np.minimum(SEGMENT, lengths)[segment_doc]
-    segment_start = (np.cumsum(lengths) - lengths)[segment_doc] + np.arange(len(segment_doc)) - first[segment_doc]
+    segment_doc = np.repeat(np.arange(len(ids), dtype=np.int32), n_segments)
+    sizes = np.minimum(SEGMENT, lengths).astype(np.int32)[segment_doc]
+    # A segment's place in flat: its own number and the words of earlier texts that begin none.
+    segment_start = ((np.cumsum(lengths) - lengths) - first).astype(np.int32)[segment_doc] + np.arange(len(segment_doc), dtype=np.int32)
     filled = np.flatnonzero(n_segments)
     rng = np.random.default_rng(SEED)
     table = rng.normal(0, 0.1, (DIM, BUCKETS)).astype(np.float32)
@@ -185,6 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             texts += [t.encode() for t in batch.column(0).to_pylist()]
             kinds += batch.column(1).to_pylist()
         model = train(texts, kinds)
+        del texts, kinds
+        _give_back()
         yield pa.RecordBatch.from_pydict({"gains": pa.array([model.gains.astype(np.float32).tobytes()], pa.binary()), "bias": [model.bias]})
 
     texts = documents(docs).where(F.octet_length("text") > 0).join(F.broadcast(sample), "doc_id")

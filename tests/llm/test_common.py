@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from tessitura.llm import common
 
@@ -14,3 +15,11 @@ def test_word_hashes(monkeypatch):
         assert np.array_equal(a, b)
     assert common.word_hashes([b"AbC", b"abc"], lower=True)[0] == common.word_hashes([b"abc"])[0]
     assert common.word_hashes([]) == []
+
+
+def test_rows_give_memory_back(monkeypatch):
+    calls = []
+    monkeypatch.setattr(common, "_give_back", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": ["a", None]})
+    assert list(common.rows([batch])) == [([1, 2], [b"a", b""])] and len(calls) == 2
+    assert list(common.rows([])) == [] and len(calls) == 4
