@@ -592,7 +592,5 @@ def nb_cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def openset_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, model = labelled(spark, sf_dir), models.classifier(["chars", "lemmas"], 1.0)
-    known = models.out_of_fold(model, rows).select(F.col("truth").alias("author"), F.lit(True).alias("known"), "score")
-    scores = known.unionByName(models.unknown_scores(model, rows).select("author", F.lit(False).alias("known"), "score"))
+    scores = models.openset(models.classifier(["chars", "lemmas"], 1.0), labelled(spark, sf_dir))
     return r6(evaluation.openset_summary(scores, evaluation.best_threshold(scores)), "median_score", "share_accepted")
