@@ -29,6 +29,8 @@ from .common import documents, filesystem, fresh_path, rows
 from .tokens import encoder
 
 _MASK = 0xA282EAD8  # fixed value of the record format
+#: Parts and pieces of texts that a worker remembers, each: about 120 bytes an entry.
+REMEMBERED = 1_000_000
 _INDEX = "shard int, file string, seq long, doc_id long, offset long, frame_bytes long, n_tokens long"
 
 
@@ -67,7 +69,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int, folder: str) ->
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        own, out, offset, seq = encoder(tokenizer), None, 0, 0
+        own, out, offset, seq = encoder(tokenizer, REMEMBERED), None, 0, 0
         end = end_id.to_bytes(own.width, "little")
         fs, base = filesystem(folder)
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.rec"

@@ -13,6 +13,9 @@ BYTE_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{
 WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: The same on printable ASCII in lower case, and such texts in any case.
 _ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: BYTE_LEVEL on ASCII from the space to the tilde.
+_ASCII_BYTES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ A-Za-z0-9]+| +(?!\S)| +")
+_SPACED = re.compile(r"[\x20-\x7E]+\Z")
 _PRINTABLE = re.compile(r"[\x21-\x7E]+\Z")
 #: Normalizers that only lower the case of printable ASCII, in any order and with Lowercase among them.
 _LOWERING = {"NFC", "Lowercase"}
@@ -48,12 +51,15 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.width = 2 if size <= 1 << 16 else 4
+        self.spelled = [i.to_bytes(self.width, "little") for i in range(size)]
         self.limit = limit
         self.lowers = self.tokenizer.normalizer is not None
         self.only_lowers = self.lowers and _only_lowers(json.loads(self.tokenizer.to_str())["normalizer"])
         names = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.specials = re.compile("|".join(map(re.escape, names)) or r"(?!)")
         self.whole_only = any(re.search(r"\s", x) for x in names)
+        #: A word of ASCII letters is one pre-token then, with its space.
+        self.words = not self.lowers and not any(re.fullmatch(r"[A-Za-z]+", x) for x in names)
         self.model = self.tokenizer.model
         self.parts: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -75,7 +81,8 @@ class PieceEncoder:
         return self._pieces(part)
 
     def _piece(self, piece: str, spelled: str) -> bytes:
-        got = b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(spelled)])
+        spell = self.spelled
+        got = b"".join([spell[t.id] for t in self.model.tokenize(spelled)])
         if len(self.pieces) < self.limit:
             self.pieces[piece] = got
         return got
@@ -83,7 +90,10 @@ class PieceEncoder:
     def _pieces(self, part: str) -> bytes:
         if not _LATIN.match(part):
             return self._plain(part)
-        found = WORD_LEVEL.findall(self.tokenizer.normalizer.normalize_str(part)) if self.lowers else BYTE_LEVEL.findall(part)
+        if self.lowers:
+            found = WORD_LEVEL.findall(self.tokenizer.normalizer.normalize_str(part))
+        else:
+            found = (_ASCII_BYTES if _SPACED.match(part) else BYTE_LEVEL).findall(part)
         known, out = self.pieces, []
         for piece in found:
             got = known.get(piece)
@@ -110,11 +120,16 @@ class PieceEncoder:
         at = -1
         for _ in range(out.count(None)):
             at = out.index(None, at + 1)
-            got = known.get(parts[at]) or self._part(parts[at] if self.lowers else " " + parts[at])
+            word = parts[at]
+            got = known.get(word)
+            if got is None and self.words and word.isascii() and word.isalpha():
+                spaced = " " + word
+                got = self.pieces.get(spaced) or self._piece(spaced, chr(_BYTE_CHARACTERS[0x20]) + word)
+            got = got or self._part(word if self.lowers else " " + word)
             if got is None:
                 return self._plain(text)
             if len(known) < self.limit:
-                known[parts[at]] = got
+                known[word] = got
             out[at] = got
         return head + b"".join(out)
 
@@ -122,8 +137,9 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def encoder(path: str) -> PieceEncoder:
-    """One encoder for each file and Python worker."""
+def encoder(path: str, limit: int = 400_000) -> PieceEncoder:
+    """One encoder for each file and Python worker; it remembers as many entries as any caller allows."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
+        _ENCODERS[path] = PieceEncoder(path, limit)
+    _ENCODERS[path].limit = max(limit, _ENCODERS[path].limit)
     return _ENCODERS[path]

@@ -290,3 +290,21 @@ def test_word_level_ascii():
         assert own.encode(text) == ids
         assert calls is None or Counted.calls == calls
     assert Counted.calls
+
+
+def test_byte_pieces_of_ascii(monkeypatch):
+    # ASCII needs no pattern with Unicode classes; ids stay the tokenizer's.
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessitura.llm import tokens
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, plain = tokens.PieceEncoder(path), Tokenizer.from_file(path)
+    ids = lambda text: plain.encode(text, add_special_tokens=False).ids
+    got = lambda text: np.frombuffer(own.encode(text), f"<u{own.width}").tolist()
+    for text in ("été <|endoftext|> x", "naïve l'été\nx y", "a  b", " a\tb ", "x\x1cy z", "a\nb c\n\nd e ", "don't. 5a6 ,, ß x<|endoftext|> ª² b"):
+        assert got(text) == ids(text)
+    monkeypatch.setattr(tokens, "BYTE_LEVEL", None)
+    for text in ("Plain words, don't they'll 'sx x's: 12ab3 %%% a-b... I'm", "The so-called end!  No", "a 's 'sa '' '5 5' it's'll"):
+        assert got(text) == ids(text)
